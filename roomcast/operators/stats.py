@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roomcast.session import materialize
+
 
 def order_hash(id_col: str) -> Column:
     return F.md5(F.col(id_col).cast("string"))
@@ -64,6 +66,7 @@ def exact_quantiles(
     n_buckets: int = 4096,
     prefix: str = "q",
     count_col: str | None = None,
+    small_rows: int = 2_000_000,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group.
 
@@ -82,6 +85,15 @@ def exact_quantiles(
         .groupBy(*group_cols, "_v")
         .agg(F.sum("_m").alias("_c"))
     )
+    # The value-count table feeds several branches below; write it once.
+    vc = materialize(vc)
+    if vc.count() <= small_rows:
+        # Size-checked fast path: every group's distinct values together are
+        # small, so the built-in exact percentile (a map of value -> count per
+        # group) is bounded even if one group holds all of them.
+        pct = F.percentile(F.col("_v"), [float(p) for p in probs], F.col("_c"))
+        out = vc.groupBy(*group_cols).agg(F.sum("_c").alias("n"), pct.alias("_q"))
+        return out.select(*group_cols, "n", *[F.col("_q")[i].alias(f"{prefix}_{i}") for i in range(len(probs))])
     stats = vc.groupBy(*group_cols).agg(
         F.sum("_c").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )

@@ -27,6 +27,10 @@ def apdim(spark: SparkSession, sf: str) -> DataFrame:
     return feat.ap_dimension(clean_cells(spark, sf))
 
 
+def aps(spark: SparkSession, sf: str) -> list[str]:
+    return feat.ap_list(apdim(spark, sf))
+
+
 def imu_filled(spark: SparkSession, sf: str) -> DataFrame:
     li = lineitem(spark, sf)
     readings = fp.imu_readings(li)
@@ -34,14 +38,20 @@ def imu_filled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    return feat.feature_long(clean_cells(spark, sf), apdim(spark, sf), imu_filled(spark, sf), IMU_COLUMNS)
+    return feat.feature_long(clean_cells(spark, sf), aps(spark, sf), imu_filled(spark, sf), IMU_COLUMNS)
 
 
-def n_scans(spark: SparkSession, sf: str) -> DataFrame:
-    return scans(spark, sf).agg(F.count(F.lit(1)).alias("n_scans"))
+def n_scans(spark: SparkSession, sf: str) -> int:
+    return scans(spark, sf).count()
 
 
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """``(vec_id, label, vec ARRAY<DOUBLE>)``."""
     e = table(spark, sf, "embeddings")
     return e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+
+
+def scan_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """``(scan_id, room_id, floor)`` of every scan that has readings."""
+    labels = fp.scan_labels(table(spark, sf, "orders"))
+    return labels.join(scans(spark, sf), "scan_id", "left_semi")

@@ -34,7 +34,7 @@ WITH {CELLS}
 SELECT scan_id, ap_pos, ap_id, rssi FROM dense
 """)
 def feature_dense(spark, sf):
-    return feat.dense_long(C.scans(spark, sf), C.clean_cells(spark, sf), C.apdim(spark, sf))
+    return feat.dense_long(C.scans(spark, sf), C.clean_cells(spark, sf), C.aps(spark, sf))
 
 
 @register("alias_resolve", sql=f"""
@@ -79,7 +79,7 @@ def alias_resolve(spark, sf):
         "value",
     )
     best = norm.groupBy("scan_id", "ap_id").agg(F.min_by("value", "prio").alias("rssi"))
-    dense = feat.dense_long(C.scans(spark, sf), best, C.apdim(spark, sf), value_col="rssi", fill=-100.0)
+    dense = feat.dense_long(C.scans(spark, sf), best, C.aps(spark, sf), value_col="rssi", fill=-100.0)
     return dense.select("scan_id", "ap_id", "rssi")
 
 
@@ -99,9 +99,7 @@ def robust_scale(spark, sf):
 def _coverage(spark, sf):
     cells = C.clean_cells(spark, sf)
     heard = cells.groupBy("ap_id").agg(F.count(F.when(F.col("rssi") > RSSI_FILL, 1)).alias("heard"))
-    return heard.crossJoin(F.broadcast(C.n_scans(spark, sf))).select(
-        "ap_id", (F.col("heard") / F.col("n_scans")).alias("coverage")
-    )
+    return heard.select("ap_id", (F.col("heard") / F.lit(C.n_scans(spark, sf))).alias("coverage"))
 
 
 @register("ap_coverage", sql=f"""
@@ -131,7 +129,7 @@ def ap_select(spark, sf):
 
 
 def _scan_stats(spark, sf):
-    dense = feat.dense_long(C.scans(spark, sf), C.clean_cells(spark, sf), C.apdim(spark, sf))
+    dense = feat.dense_long(C.scans(spark, sf), C.clean_cells(spark, sf), C.aps(spark, sf))
     # A scan's group is bounded by the AP dimension, so plain aggregates are safe here.
     return dense.groupBy("scan_id").agg(
         F.count(F.when(F.col("rssi") > -85.0, 1)).alias("ap_count"),
@@ -169,7 +167,7 @@ WITH {CELLS}
 SELECT scan_id, ap_id, round(rssi - avg(rssi) OVER (PARTITION BY scan_id), 6) AS rssi_centered FROM dense
 """)
 def scan_center(spark, sf):
-    dense = feat.dense_long(C.scans(spark, sf), C.clean_cells(spark, sf), C.apdim(spark, sf))
+    dense = feat.dense_long(C.scans(spark, sf), C.clean_cells(spark, sf), C.aps(spark, sf))
     w = Window.partitionBy("scan_id")  # bounded: one row per AP
     return dense.select("scan_id", "ap_id", r6(F.col("rssi") - F.avg("rssi").over(w)).alias("rssi_centered"))
 
@@ -193,7 +191,7 @@ def ap_signal_stats(spark, sf):
     obs = cells.groupBy("ap_id").agg(
         F.count(F.lit(1)).alias("_k"), F.sum("rssi").alias("_s"), F.sum(F.col("rssi") * F.col("rssi")).alias("_ss"),
         F.min("rssi").alias("_min"), F.max("rssi").alias("_max"),
-    ).crossJoin(F.broadcast(ns))
+    ).withColumn("n_scans", F.lit(ns))
     fill = F.lit(RSSI_FILL)
     m = F.col("n_scans") - F.col("_k")
     n = F.col("n_scans")
@@ -207,8 +205,8 @@ def ap_signal_stats(spark, sf):
         F.when(m > 0, F.greatest(F.col("_max"), fill)).otherwise(F.col("_max")).alias("max"),
     )
     counted = cells.groupBy("ap_id", "rssi").agg(F.count(F.lit(1)).alias("_m"))
-    implicit = cells.groupBy("ap_id").agg(F.count(F.lit(1)).alias("_k")).crossJoin(F.broadcast(ns)).select(
-        "ap_id", fill.alias("rssi"), (F.col("n_scans") - F.col("_k")).alias("_m")
+    implicit = cells.groupBy("ap_id").agg(F.count(F.lit(1)).alias("_k")).select(
+        "ap_id", fill.alias("rssi"), (F.lit(ns) - F.col("_k")).alias("_m")
     )
     q = exact_quantiles(counted.unionByName(implicit), ["ap_id"], "rssi", [0.25, 0.5, 0.75], count_col="_m").drop("n")
     out = mom.join(q, "ap_id")

@@ -62,3 +62,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="roomcast-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Cut lineage by writing ``df`` to the shared checkpoint folder (survives executor loss)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def scalar(df, col: str | None = None):
+    """One aggregate value on the driver (a single number, never a table)."""
+    row = df.first()
+    if row is None:
+        return None
+    return row[col] if col else row[0]
