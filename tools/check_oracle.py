@@ -17,6 +17,7 @@ from collections import Counter
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
+import pandas as pd  # noqa: E402
 
 from roomcast.plans.registry import oracles, queries  # noqa: E402
 from roomcast.session import get_spark  # noqa: E402
@@ -24,12 +25,19 @@ from roomcast.sources.tables import TABLES  # noqa: E402
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return round(v, 6) + 0.0
+    if isinstance(v, bool):
+        return v
+    if isinstance(v, (int, float)) or hasattr(v, "dtype") and getattr(v, "ndim", 1) == 0:
+        try:
+            f = float(v)
+        except (TypeError, ValueError):
+            return v
+        if math.isnan(f):
+            return None
+        f = round(f, 6) + 0.0
+        return int(f) if f.is_integer() else f
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
@@ -43,7 +51,7 @@ def _rows(pdf):
     cols = sorted(pdf.columns)
     out = Counter()
     for rec in pdf[cols].itertuples(index=False, name=None):
-        out[tuple(_norm(x) if not (isinstance(x, float) and math.isnan(x)) else None for x in rec)] += 1
+        out[tuple(_norm(x) for x in rec)] += 1
     return cols, out
 
 
