@@ -129,13 +129,30 @@ def ap_select(spark, sf):
 
 
 def _scan_stats(spark, sf):
-    dense = feat.dense_long(C.scans(spark, sf), C.clean_cells(spark, sf), C.aps(spark, sf))
-    # A scan's group is bounded by the AP dimension, so plain aggregates are safe here.
-    return dense.groupBy("scan_id").agg(
+    """Per-scan statistics over the dense row without building it.
+
+    Unheard cells sit at the fill, which is also the clip minimum, so the sorted
+    dense row is ``m`` fills followed by the sorted observed values; a scan's
+    observed values are bounded by the AP dimension.
+    """
+    n_ap = len(C.aps(spark, sf))
+    cells = C.clean_cells(spark, sf)
+    per = cells.groupBy("scan_id").agg(
         F.count(F.when(F.col("rssi") > -85.0, 1)).alias("ap_count"),
-        F.avg("rssi").alias("rssi_mean"),
-        F.median("rssi").alias("rssi_median"),
-        F.max("rssi").alias("rssi_max"),
+        F.sum("rssi").alias("_s"), F.count(F.lit(1)).alias("_k"), F.max("rssi").alias("_max"),
+        F.sort_array(F.collect_list("rssi")).alias("_obs"),
+    )
+    per = C.scans(spark, sf).join(per, "scan_id", "left")
+    k = F.coalesce(F.col("_k"), F.lit(0))
+    m = F.lit(n_ap) - k
+    dense = F.concat(F.array_repeat(F.lit(RSSI_FILL), m.cast("int")), F.coalesce(F.col("_obs"), F.array().cast("array<double>")))
+    lo = F.element_at(F.col("_d"), F.lit((n_ap - 1) // 2 + 1))
+    hi = F.element_at(F.col("_d"), F.lit(n_ap // 2 + 1))
+    return per.withColumn("_d", dense).select(
+        "scan_id", F.coalesce("ap_count", F.lit(0)).alias("ap_count"),
+        ((F.coalesce(F.col("_s"), F.lit(0.0)) + m * F.lit(RSSI_FILL)) / F.lit(n_ap)).alias("rssi_mean"),
+        ((lo + hi) / 2.0).alias("rssi_median"),
+        F.when(m > 0, F.greatest(F.coalesce(F.col("_max"), F.lit(RSSI_FILL)), F.lit(RSSI_FILL))).otherwise(F.col("_max")).alias("rssi_max"),
     )
 
 

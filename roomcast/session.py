@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -65,9 +66,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage by writing ``df`` to the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    One job computes the plan once (``Dataset.checkpoint`` runs it twice when the
+    data is not cached); the files survive executor loss and later reads are
+    columnar with pruning.
+    """
+    spark = df.sparkSession
+    path = checkpoint_dir(spark).rstrip("/") + f"/mat-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def scalar(df, col: str | None = None):
