@@ -337,3 +337,64 @@ def report_rows(spark, sf):
         F.format_string("%.4f +/- %.4f", "am", "asd").alias("accuracy_cell"),
         F.format_string("%.4f +/- %.4f", "fm", "fsd").alias("f1_cell"),
     )
+
+
+# --- MLlib models (rows-only checks: no SQL equivalent) --------------------------------
+
+
+def _ml_frame(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+
+    e = C.embeddings(spark, sf)
+    s = S.stratified_holdout(e, "vec_id", "label", 0.2)
+    return s.select("vec_id", "label", "is_test", array_to_vector("vec").alias("features"))
+
+
+@register("mlp_holdout")
+def mlp_holdout(spark, sf):
+    """M3: multilayer perceptron (hidden 64, 32; seed 42; max 400 iterations) on the holdout split.
+
+    Spark's MLP uses sigmoid hidden units with L-BFGS (the reference's library
+    default is ReLU with Adam), so only the shape of the output is compared.
+    """
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    df = _ml_frame(spark, sf)
+    n_classes = int(df.agg(F.max("label")).first()[0]) + 1
+    dim = len(df.select("features").first()[0])
+    mlp = MultilayerPerceptronClassifier(layers=[dim, 64, 32, n_classes], maxIter=400, seed=42, labelCol="label")
+    model = mlp.fit(df.where(~F.col("is_test")).withColumn("label", F.col("label").cast("double")))
+    pred = model.transform(df.where("is_test"))
+    return pred.select(F.col("vec_id").alias("query_id"), F.col("label").alias("true_label"),
+                       F.col("prediction").cast("int").alias("pred_label"))
+
+
+@register("gbt_regress")
+def gbt_regress(spark, sf):
+    """Boosted-tree regressors for x and y (one per coordinate), holdout predictions."""
+    from pyspark.ml.regression import GBTRegressor
+
+    df = _ml_frame(spark, sf).withColumn("x", F.col("label").cast("double") * 10.0 + (F.col("vec_id") % 7)).withColumn(
+        "y", (F.col("vec_id") % 13).cast("double"))
+    train, test = df.where(~F.col("is_test")), df.where("is_test")
+    out = test.select("vec_id", "x", "y")
+    for target in ("x", "y"):
+        m = GBTRegressor(labelCol=target, maxIter=50, maxDepth=4, stepSize=0.1, seed=42).fit(train)
+        out = out.join(m.transform(test).select("vec_id", F.col("prediction").alias(f"{target}_pred")), "vec_id")
+    dx, dy = F.col("x") - F.col("x_pred"), F.col("y") - F.col("y_pred")
+    return out.select(F.col("vec_id").alias("query_id"), "x_pred", "y_pred", F.sqrt(dx * dx + dy * dy).alias("err"))
+
+
+@register("kmeans_patterns")
+def kmeans_patterns(spark, sf):
+    """Signal-pattern clusters (k-means, k=8, seed 42) of the robust-scaled fingerprints."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from roomcast.operators import features as feat
+
+    params = feat.robust_fit(C.feature_table(spark, sf), C.n_scans(spark, sf))
+    vecs = feat.scaled_vectors(C.scans(spark, sf), C.feature_table(spark, sf), params)
+    df = vecs.select("scan_id", array_to_vector("vec").alias("features"))
+    model = KMeans(k=8, seed=42, maxIter=20).fit(df)
+    return model.transform(df).select("scan_id", F.col("prediction").alias("cluster"))
