@@ -197,3 +197,57 @@ def knn_by_partition(spark, sf):
     rg = refs.withColumn("grp", F.col("label") % 2)
     nn = knn.knn_join(qg, rg, 7, "cosine", payload=("label",), key="grp")
     return nn.select("query_id", "grp", "ref_id", "label", r6(F.col("dist")).alias("dist"), "rank")
+
+
+# --- the fingerprint pipeline end to end (M5: L1 training + holdout scoring) -----------
+
+from roomcast.functions.exprs import IMU_COLUMNS  # noqa: E402
+from roomcast.operators import features as feat  # noqa: E402
+from roomcast.plans.sqlparts import CELLS, FEATURES, IMU, LABELS  # noqa: E402
+from roomcast.sources import fingerprints as fp  # noqa: E402
+
+_TRAIN = "scan_id IN (SELECT scan_id FROM split WHERE NOT is_test)"
+_FP_SQL = (
+    "WITH " + CELLS + ", " + LABELS + """,
+sp AS (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY md5(CAST(scan_id AS VARCHAR)), scan_id) AS rn,
+              count(*) OVER (PARTITION BY room_id) AS n
+       FROM scan_labels WHERE scan_id IN (SELECT scan_id FROM scans)),
+split AS (SELECT scan_id, room_id, rn <= round(n * 0.2) AS is_test FROM sp),
+""" + IMU.replace("FROM imu WHERE imu_name IS NOT NULL GROUP BY 1", f"FROM imu WHERE imu_name IS NOT NULL AND {_TRAIN} GROUP BY 1")
+    + ", " + FEATURES.replace("FROM feat GROUP BY 1, 2, 3", f"FROM feat WHERE {_TRAIN} GROUP BY 1, 2, 3") + """,
+zz AS (SELECT f.scan_id, f.pos, (f.value - s.median) / s.scale AS z FROM feat f JOIN scaler2 s USING (feature, pos, fill)),
+vec AS (SELECT scan_id, list(z ORDER BY pos) AS v FROM zz GROUP BY 1),
+q AS (SELECT v.scan_id AS query_id, s.room_id AS true_label, v.v FROM vec v JOIN split s USING (scan_id) WHERE s.is_test),
+t AS (SELECT v.scan_id AS ref_id, s.room_id AS label, v.v FROM vec v JOIN split s USING (scan_id) WHERE NOT s.is_test),
+""" + nn_sql(7) + ", " + VOTE_SQL + """
+SELECT query_id, true_label, label AS pred_label, round(probability, 6) AS confidence FROM ranked WHERE prank = 1
+""")
+
+
+def fingerprint_predictions(spark, sf, k=7):
+    """Train on 80 % of the scans (stratified by room), score the rest: clean -> IMU medians
+    (train) -> robust scaling (train, exact quantiles) -> cosine kNN -> 1/d vote."""
+    labels = C.scan_labels(spark, sf)
+    split = stratified_holdout(labels, "scan_id", "room_id", 0.2)
+    train_ids = split.where(~F.col("is_test")).select("scan_id")
+    li = C.lineitem(spark, sf)
+    readings = fp.imu_readings(li)
+    med = feat.imu_medians(readings.join(train_ids, "scan_id", "left_semi"))
+    imu_vals = feat.imu_impute(C.scans(spark, sf), readings, med, IMU_COLUMNS)
+    features = feat.feature_long(C.clean_cells(spark, sf), C.aps(spark, sf), imu_vals, IMU_COLUMNS)
+    params = feat.robust_fit(features.join(train_ids, "scan_id", "left_semi"), train_ids.count())
+    vecs = feat.scaled_vectors(C.scans(spark, sf), features, params)
+    sv = vecs.join(split, "scan_id")
+    queries = sv.where("is_test").select(F.col("scan_id").alias("query_id"), F.col("room_id").alias("true_label"), "vec")
+    refs = sv.where(~F.col("is_test")).select(F.col("scan_id").alias("ref_id"), F.col("room_id").alias("label"), "vec")
+    nn = knn.knn_join(queries, refs, k, "cosine", payload=("label",)).join(queries.select("query_id", "true_label"), "query_id")
+    votes = knn.distance_vote(nn, ["query_id", "true_label"], "label")
+    best = knn.vote_topk(votes, ["query_id", "true_label"], 1)
+    return best.select("query_id", "true_label", F.col("label").alias("pred_label"), F.col("probability").alias("confidence"))
+
+
+@register("fingerprint_knn_room", sql=_FP_SQL)
+def fingerprint_knn_room(spark, sf):
+    """M1 + M5 on the fingerprint fixture: holdout room predictions of the full pipeline."""
+    p = fingerprint_predictions(spark, sf, 7)
+    return p.select("query_id", "true_label", "pred_label", r6(F.col("confidence")).alias("confidence"))
