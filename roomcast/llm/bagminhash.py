@@ -14,11 +14,12 @@ pair of similarity 0.8 is missed with a probability of 5e-8.  Candidates are ver
 exactly on the whole texts.
 
 Large groups.  Texts of equal words collapse to the one with the smallest id before
-banding.  In a bucket all members are first compared with one leader; members that the
-verified links already join need no further comparison, and only pairs of a bucket that
-are still in different classes are then compared with each other, so no link between
-classes is lost and groups of copies cost one comparison per member.  Classes are
-connected components of verified links.
+banding.  In a bucket all members are first compared with one leader, the text that
+shares most with others; a group of copies of one text costs one comparison per member.
+Buckets whose members are then still in different classes are compared member by
+member, in pairs of blocks of bounded size, by one matrix product each, so no link
+between classes is lost and no pair is ever a row.  Classes are connected components of
+verified links.
 
 Edge cases: null, empty and blank texts are alone in their class; equal rows are in one
 class; ties cannot occur (classes are named by their least id); rows that share an id
@@ -45,9 +46,10 @@ from roomcast.session import materialize
 SHINGLE = 5
 THRESHOLD = 0.8
 SLOTS, BANDS = 128, 32
-#: Bytes of text whose signatures are computed together, and star rounds before the exact rest.
+#: Bytes of text whose signatures are computed together; texts in a block of the exact rest, units per product.
 GROUP_BYTES = 4 << 20
-STAR_ROUNDS = 2
+BLOCK_ROWS = 384
+UNITS_AT_ONCE = 4096
 _ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -172,6 +174,102 @@ def overlap(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, te
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _units(words: np.ndarray) -> np.ndarray:
+    """The shingle multiset as a set: one hash per (shingle, occurrence)."""
+    hashes, counts = shingles(words)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(np.repeat(hashes, counts) + nth.astype(U) * _ODD[0])
+
+
+def block_links(ids: np.ndarray, group: np.ndarray, units: list[np.ndarray], least: Fraction) -> list[tuple[int, int]]:
+    """Links between texts of different groups, as many as it takes to join the groups that any link joins.
+
+    All pairs of the block are compared at once: overlaps are products of the incidence
+    of those units that two texts or more have, a slice of units at a time.
+    """
+    n = len(ids)
+    owner = np.repeat(np.arange(n), [len(u) for u in units])
+    if not len(owner):
+        return []
+    _, unit, often = np.unique(np.concatenate(units), return_inverse=True, return_counts=True)
+    shared = often[unit] > 1
+    owner, (_, unit) = owner[shared], np.unique(unit[shared], return_inverse=True)
+    order = np.argsort(unit, kind="stable")
+    owner, unit = owner[order], unit[order]
+    overlap_of = np.zeros((n, n))
+    for lo in range(0, int(unit[-1]) + 1 if len(unit) else 0, UNITS_AT_ONCE):
+        i, j = np.searchsorted(unit, (lo, lo + UNITS_AT_ONCE))
+        present = np.zeros((n, UNITS_AT_ONCE), np.float32)
+        present[owner[i:j], unit[i:j] - lo] = 1
+        overlap_of += present @ present.T
+    size = np.array([len(u) for u in units], np.float64)
+    union = size[:, None] + size[None, :] - overlap_of
+    close = (overlap_of * least.denominator >= least.numerator * union) & (union > 0)
+    close &= group[:, None] != group[None, :]
+    root = {int(g): int(g) for g in group}
+
+    def find(g: int) -> int:
+        while root[g] != g:
+            root[g] = g = root[root[g]]
+        return g
+
+    found = []
+    for i, j in zip(*np.nonzero(np.triu(close))):
+        x, y = find(int(group[i])), find(int(group[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return found
+
+
+def _rest_links(
+    members: DataFrame, roots: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str
+) -> DataFrame:
+    """Links (a, b) between members of one bucket that are still in different classes.
+
+    Buckets with more than one class are joined to families (buckets that share a member
+    overlap a lot); a family is cut into blocks of about ``BLOCK_ROWS`` texts, and each pair
+    of blocks is one group.
+    """
+    classed = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("class"))
+    several = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("id").alias("a"))
+    rest = materialize(
+        classed.join(several.filter("lo < hi").select(F.col("key").alias("k"), "a"), F.col("key") == F.col("k"))
+        .select("id", "class", "a")
+        .distinct()
+    )
+    families = components(rest.filter("a < id").select("a", F.col("id").alias("b")))
+    placed = (
+        rest.select("id", "class")
+        .distinct()
+        .join(families.select(F.col("id").alias("i"), F.col("root").alias("of")), F.col("id") == F.col("i"), "left")
+        .select("id", "class", F.coalesce("of", "id").alias("family"))
+    )
+    sizes = placed.groupBy(F.col("family").alias("f")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = (
+        placed.join(sizes, F.col("family") == F.col("f"))
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("id", "class", "family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    )
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text"))
+    least = Fraction(str(threshold))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(group: pa.Table) -> pa.Table:
+        units = []
+        for batch in group.select(["text"]).to_batches():
+            for part in bounded_rows(batch, "text", GROUP_BYTES):
+                words, first = word_hashes(*utf8(part.column("text")))
+                units += [_units(words[a:b]) for a, b in zip(first[:-1], first[1:])]
+        found = block_links(group.column("id").to_numpy(), group.column("class").to_numpy(), units, least)
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)] or [pa.array([], pa.int64())] * 2, schema=schema)
+
+    grouped = dealt.join(texts, F.col("id") == F.col("i")).select("id", "class", "family", "p", "q", "text")
+    return grouped.groupBy("family", "p", "q").applyInArrow(compare, "a long, b long").filter("a < b").distinct()
+
+
 def classes(
     docs: DataFrame,
     threshold: float = THRESHOLD,
@@ -181,48 +279,32 @@ def classes(
     text_col: str = "text",
 ) -> DataFrame:
     """(id, class_id) of every row; class_id is the least id of the class."""
-    spark = docs.sparkSession
     sketches = materialize(_sketches(docs, id_col, text_col, slots, bands))
-    copies = (
-        sketches.filter("w1 is not null").groupBy("w1", "w2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    )
+    copies = sketches.filter("w1 is not null").groupBy("w1", "w2").agg(F.min("id").alias("rep"))
+    reps = copies.select(F.col("w1").alias("x1"), F.col("w2").alias("x2"), "rep")
+    same = (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))
     # band rows of the text that stands for its copies; copies of one id do not repeat them
-    alone = sketches.filter("w1 is not null and id is not null").join(
-        copies.select(F.col("w1").alias("x1"), F.col("w2").alias("x2"), "rep"),
-        (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")) & (F.col("id") == F.col("rep")),
+    rows = sketches.join(reps, same & (F.col("id") == F.col("rep"))).select("id", F.explode("keys").alias("key")).distinct()
+    buckets = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
+    buckets = buckets.filter("least < most").select(F.col("key").alias("k"), "n")
+    members = materialize(rows.join(buckets, F.col("key") == F.col("k")).select("key", "id", "n"))
+    # the text that copies were made from shares more buckets with them than they do with each other
+    known = members.groupBy("id").agg(F.sum("n").alias("known")).select(F.col("id").alias("i"), "known")
+    leads = (
+        members.join(known, F.col("id") == F.col("i"))
+        .groupBy("key")
+        .agg(F.min(F.struct((-F.col("known")).alias("o"), "id")).alias("lead"))
+        .select(F.col("key").alias("k"), F.col("lead.id").alias("lead"))
+    )
+    pairs = materialize(
+        members.join(leads, (F.col("key") == F.col("k")) & (F.col("id") != F.col("lead")))
+        .select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+        .distinct()
     )
-    rows = alone.select("id", F.explode("keys").alias("key")).distinct()
-    buckets = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    members = materialize(rows.join(buckets.select(F.col("key").alias("k")), F.col("key") == F.col("k")).select("key", "id"))
-
-    empty = spark.createDataFrame([], "a long, b long")
-    links, tried, roots = empty, empty, spark.createDataFrame([], "id long, root long")
-    for turn in range(STAR_ROUNDS + 1):
-        classed = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("class"))
-        open_keys = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi")
-        left = materialize(classed.join(open_keys.select(F.col("key").alias("k")), F.col("key") == F.col("k")).drop("k"))
-        if left.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "key", "id")
-            one = left.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "class")).alias("lead"))
-            other = one.select(F.col("key").alias("k"), F.col("lead.id").alias("lid"), F.col("lead.class").alias("lclass"))
-        else:
-            other = left.select(F.col("key").alias("k"), F.col("id").alias("lid"), F.col("class").alias("lclass"))
-        pairs = (
-            left.join(other, (F.col("key") == F.col("k")) & (F.col("class") != F.col("lclass")))
-            .select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b"))
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        pairs = materialize(pairs)
-        links = links.unionByName(materialize(overlap(pairs, docs, threshold, id_col, text_col)))
-        tried = tried.unionByName(pairs)
-        roots = components(links)
-    reps = copies.select(F.col("w1").alias("x1"), F.col("w2").alias("x2"), "rep", "n")
-    named = sketches.select("id", "w1", "w2").join(
-        reps, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")), "left"
-    ).select("id", F.coalesce("rep", "id").alias("rep"))
-    return named.join(roots.select(F.col("id").alias("node"), "root"), F.col("rep") == F.col("node"), "left").select(
+    links = materialize(overlap(pairs, docs, threshold, id_col, text_col))
+    rest = _rest_links(members.select("key", "id"), components(links), docs, threshold, id_col, text_col)
+    roots = components(links.unionByName(rest)).select(F.col("id").alias("node"), "root")
+    named = sketches.select("id", "w1", "w2").join(reps, same, "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    return named.join(roots, F.col("rep") == F.col("node"), "left").select(
         F.col("id").alias(id_col), F.coalesce("root", "rep").alias("class_id")
     )
