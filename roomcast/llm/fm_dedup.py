@@ -41,7 +41,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomcast.llm.frames import bounded_rows, fresh, rows_out, utf8
@@ -55,6 +55,7 @@ HOT = 8192
 BLOCK_SEGMENTS = 16384
 GROUP_BYTES = 2 << 20
 WORD_BYTES = 6
+FP_BITS = 19
 
 
 # -- anchors -----------------------------------------------------------------------------------
@@ -83,15 +84,20 @@ def segments(words: np.ndarray, first: np.ndarray, window: int, k: int) -> tuple
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("fp"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), _fp(text).alias("fp"), text.alias("text"))
 
 
-_PLACES = "h long, id long, fp long, place long"
+def _fp(text: Column) -> Column:
+    """Tells rows that share an id apart; short, so that it packs into a place."""
+    return F.xxhash64(text).bitwiseAND((1 << FP_BITS) - 1)
+
+
+_PLACES = "h long, id long, place long"
 
 
 def _places(keyed: DataFrame, window: int, k: int, full: bool) -> DataFrame:
     """Anchor hashes of all segments; ``full`` adds the document and the place, packed (see _unpack)."""
-    names = ("h", "id", "fp", "place") if full else ("h",)
+    names = ("h", "id", "place") if full else ("h",)
     schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,22 +108,22 @@ def _places(keyed: DataFrame, window: int, k: int, full: bool) -> DataFrame:
                 out = [pa.array(h.view(np.int64))]
                 if full:
                     take = pa.array(row)
-                    out += [part.column("id").take(take), part.column("fp").take(take)]
-                    out.append(pa.array(((start << 6 | offset) << 6 | count) << 1))
+                    fp = part.column("fp").to_numpy(zero_copy_only=False)[row]
+                    out += [part.column("id").take(take), pa.array(fp << 44 | start << 13 | offset << 7 | count << 1)]
                 yield pa.RecordBatch.from_arrays(out, schema=schema)
 
     return keyed.mapInArrow(run, _PLACES if full else "h long")
 
 
 def _unpack(place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, anchor offset, windows, hot)."""
-    return place >> 13, place >> 7 & 63, place >> 1 & 63, (place & 1).astype(bool)
+    """(start, anchor offset, windows, hot); above them stands the row's fp."""
+    return place >> 13 & 2**31 - 1, place >> 7 & 63, place >> 1 & 63, (place & 1).astype(bool)
 
 
 # -- segments on their way to a shard ------------------------------------------------------------
 
-_SENT = "key long, same long, id long, fp long, start long, stop long, words binary"
-_SENT_SCHEMA = pa.schema([(n, pa.int64()) for n in ("key", "same", "id", "fp", "start", "stop")] + [("words", pa.binary())])
+_SENT = "key long, same long, id long, fp long, span long, words binary"
+_SENT_SCHEMA = pa.schema([(n, pa.int64()) for n in ("key", "same", "id", "fp", "span")] + [("words", pa.binary())])
 
 
 def _packed_words(words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[bytes]:
@@ -176,8 +182,7 @@ def _send(part: pa.RecordBatch, window: int, k: int) -> pa.RecordBatch:
             pa.array(same.view(np.int64)),
             part.column("id").take(take),
             part.column("fp").take(take),
-            pa.array(start),
-            pa.array(start + end - begin),
+            pa.array(start << 31 | start + end - begin),
             pa.array([None if a else next(sent) for a in again], pa.binary()),
         ],
         schema=_SENT_SCHEMA,
@@ -334,8 +339,9 @@ def _spans(table: pa.Table, at: np.ndarray, start: np.ndarray, stop: np.ndarray)
 
 
 def _solve(table: pa.Table, window: int) -> pa.Table:
-    """Repeats among the rows of whole keys, which are sorted by key, same, id, fp, start."""
-    key, same, start, stop, fp = (table.column(c).to_numpy() for c in ("key", "same", "start", "stop", "fp"))
+    """Repeats among the rows of whole keys, which are sorted by key, same, id, fp, span."""
+    key, same, span, fp = (table.column(c).to_numpy() for c in ("key", "same", "span", "fp"))
+    start, stop = span >> 31, span & 2**31 - 1
     bare = pc.is_null(table.column("words")).to_numpy()
     rest = np.flatnonzero(~bare)
     out = [_spans(table, np.flatnonzero(bare), start[bare], stop[bare])]
@@ -393,11 +399,12 @@ def repeats(
     """(id, fp, spans): for documents with repeats, the packed word intervals to remove (they may overlap)."""
     keyed = _keyed(docs, id_col, text_col)
     often = _places(keyed, window, k, False).groupBy("h").count().filter("count > 1")
-    often = often.select(F.col("h").alias("x"), (F.col("count") > hot).cast("long").alias("is_hot"))
+    # both sides are dealt by another key than the counts were, so that AQE can split a frequent anchor
+    often = often.select(F.bitwise_not("h").alias("x"), (F.col("count") > hot).cast("long").alias("is_hot"))
     places = (
         _places(keyed, window, k, True)
-        .join(often, F.col("h") == F.col("x"))
-        .groupBy("id", "fp")
+        .join(often, F.bitwise_not("h") == F.col("x"))
+        .groupBy("id", F.shiftrightunsigned("place", 44).alias("fp"))
         .agg(F.collect_set(F.col("place") + F.col("is_hot")).alias("places"))
     )
     found = places.select(F.col("id").alias("i"), F.col("fp").alias("f"), "places")
@@ -414,7 +421,7 @@ def repeats(
         return _shard(batches, window, BLOCK_SEGMENTS)
 
     sent = with_text.mapInArrow(send, _SENT).repartition("key")
-    spans = sent.sortWithinPartitions("key", "same", "id", "fp", "start").mapInArrow(solve, _SPANS)
+    spans = sent.sortWithinPartitions("key", "same", "id", "fp", "span").mapInArrow(solve, _SPANS)
     return spans.groupBy("id", "fp").agg(F.collect_list("span").alias("spans"))
 
 
@@ -467,5 +474,5 @@ def strip(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: s
         return pd.Series([one(t, s) for t, s in zip(texts, found)], dtype=object)
 
     key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    joined = docs.join(found, key.eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(f)), "left")
+    joined = docs.join(found, key.eqNullSafe(F.col(i)) & (_fp(text) == F.col(f)), "left")
     return joined.withColumn(text_col, cut(F.col(text_col), F.col(own))).select(*docs.columns)
