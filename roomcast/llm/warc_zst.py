@@ -250,8 +250,13 @@ def train_dictionary(
     Empty if there is too little to learn from.  It only affects the compression ratio.
     """
     head = F.substring(F.coalesce(F.col(html_col), F.lit("")).cast("binary"), 1, sample_bytes)
-    rows = pages.select(F.xxhash64(html_col).alias("h"), head.alias("head")).orderBy("h", "head").limit(samples).collect()
-    heads = [bytes(r["head"]) for r in rows if r["head"]]
+    hashed = pages.select(F.xxhash64(html_col).alias("h"), head.alias("head"))
+    # the hashes alone settle which payloads are meant, so that only those reach the driver
+    last = hashed.select("h").distinct().orderBy("h").limit(samples).agg(F.max("h")).first()[0]
+    if last is None:
+        return b""
+    rows = hashed.filter(F.col("h") <= last).dropDuplicates(["h"]).collect()
+    heads = [bytes(r["head"]) for r in sorted(rows, key=lambda r: r["h"]) if r["head"]]
     try:
         return zstandard.train_dictionary(size, heads).as_bytes()
     except zstandard.ZstdError:
@@ -332,5 +337,6 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                         yield rows_out(_RECORDS, zip(*ready))
 
     paths = manifest.select("path").filter("path is not null")
-    # one task per archive, up to the session's number of shuffle partitions
-    return paths.repartition("path").mapInArrow(run, RECORDS)
+    # a stated number of tasks: path rows are so small that AQE would put all archives into one
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return paths.repartition(n, "path").mapInArrow(run, RECORDS)
