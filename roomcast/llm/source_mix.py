@@ -34,6 +34,8 @@ from roomcast.session import materialize
 
 #: Least quality weight of a document.
 LEAST_QUALITY = 1e-3
+#: Copies of a source's plan row that its rows are dealt over.
+SALTS = 64
 
 
 def n_words(text: str) -> Column:
@@ -109,7 +111,7 @@ def mix(
 ) -> DataFrame:
     """Rows of ``draw`` plus source_size, target and taken (words of the row in the mix)."""
     s_size, target, taken = fresh(df, "source_size", "target", "taken")
-    bin_, mine, cum = fresh(df, "es_bin", "es_source", "es_cum")
+    bin_, mine, cum, salt, row_salt = fresh(df, "es_bin", "es_source", "es_cum", "es_salt", "es_row_salt")
     step = F.least(F.lit(bins - 1), F.floor((1 - F.exp(-F.col(key_col))) * bins)).cast("int")
     rows = df.withColumn(bin_, step)
     sums = materialize(
@@ -132,7 +134,11 @@ def mix(
     plan = plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(
         F.struct("source", "source_size", "target", "epochs", F.coalesce("bin", F.lit(bins)).alias("bin"), "room").alias(mine)
     )
-    joined = rows.join(plan, F.col(source_col).eqNullSafe(F.col(f"{mine}.source")))
+    # a third of all rows may have one source: its rows meet SALTS copies of its plan row
+    salted = plan.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = rows.withColumn(row_salt, F.pmod(F.xxhash64(id_col, tie_col), F.lit(SALTS)).cast("int")).join(
+        salted, F.col(source_col).eqNullSafe(F.col(f"{mine}.source")) & (F.col(row_salt) == F.col(salt))
+    )
     at_end = F.col(bin_) == F.col(f"{mine}.bin")
     order = W.partitionBy(F.col(f"{mine}.source")).orderBy(key_col, id_col, tie_col)
     partial = (
@@ -150,7 +156,7 @@ def mix(
         .withColumn(taken, F.col(f"{mine}.epochs") * F.col(size_col) + F.col(cum))
         .withColumn(s_size, F.col(f"{mine}.source_size"))
         .withColumn(target, F.col(f"{mine}.target"))
-        .drop(bin_, mine, cum)
+        .drop(bin_, mine, cum, salt, row_salt)
     )
 
 
