@@ -24,7 +24,7 @@ from roomcast.session import materialize
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood-ratio threshold."""
     weights = quality_llr.fit(docs, quality_llr.trusted_ids(table(spark, sf_dir, "labels")))
-    return quality_llr.judge(docs, weights).filter("kept").select(*docs.columns)
+    return quality_llr.keep(docs, weights)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,3 +151,15 @@ def judge(
         .withColumn("kept", ~F.col("base_failed") & passed)
     )
     return rows.select(*[c for c in docs.columns if c not in names], *names)
+
+
+def keep(
+    docs: DataFrame, weights: list[float] | None, threshold: float = THRESHOLD, text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their columns."""
+    (row,) = fresh(docs, "q_row")
+    judged = judge(docs, weights, threshold, text_col).select(
+        *docs.columns, F.col("kept").alias(row), F.monotonically_increasing_id().alias(row + "_id")
+    )
+    # the row number keeps the optimizer from copying the verdict's nested expressions into a filter below them
+    return judged.filter(F.col(row) & (F.col(row + "_id") >= 0)).select(*docs.columns)
