@@ -142,7 +142,7 @@ def _unpacked_words(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _send(part: pa.RecordBatch, window: int, k: int) -> pa.RecordBatch:
     """Rows for the shards from documents with their places; copies inside the batch become bare removals.
 
-    A removal has no words; its key only spreads such rows over the shards, which pass them on.
+    Removals that touch in a document are one row.  It has no words; its key only spreads such rows over the shards, which pass them on.
     """
     words, first = word_hashes(*utf8(part.column("text")))
     places = part.column("places")
@@ -173,22 +173,36 @@ def _send(part: pa.RecordBatch, window: int, k: int) -> pa.RecordBatch:
     twin = again.copy()  # a repeated row of the same document: neither is earlier
     twin[1:] &= (row[1:] != row[:-1]) & (start[1:] == start[:-1]) & (ids[row[1:]] == ids[row[:-1]]) & (fps[row[1:]] == fps[row[:-1]])
     row, begin, end, start, key, same, again = (x[~twin] for x in (row, begin, end, start, key, same, again))
-    key = np.where(again, mix(fps[row].view(U) + start.astype(U)), key)
-    sent = iter(_packed_words(words, begin[~again], end[~again]))
-    take = pa.array(row)
+    stop = start + end - begin
+    bare = _merged(row[again], start[again], stop[again])
+    row, begin, end, start, stop, key, same = (x[~again] for x in (row, begin, end, start, stop, key, same))
+    bare_key = mix(fps[bare[0]].view(U) + bare[1].astype(U))
+    take = pa.array(np.concatenate([row, bare[0]]))
+    span = np.concatenate([start << 31 | stop, bare[1] << 31 | bare[2]])
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(key.view(np.int64)),
-            pa.array(same.view(np.int64)),
+            pa.array(np.concatenate([key, bare_key]).view(np.int64)),
+            pa.array(np.concatenate([same, bare_key]).view(np.int64)),
             part.column("id").take(take),
             part.column("fp").take(take),
-            pa.array(start << 31 | start + end - begin),
-            pa.array([None if a else next(sent) for a in again], pa.binary()),
+            pa.array(span),
+            pa.array([*_packed_words(words, begin, end), *[None] * len(bare[0])], pa.binary()),
         ],
         schema=_SENT_SCHEMA,
     )
 
 
+def _merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start, stop) of the unions of intervals that touch in one row."""
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], stop[order]
+    reach = np.maximum.accumulate((row << 32) + stop)  # rows do not touch: a place is below 2**31
+    new = np.ones(len(row), bool)
+    new[1:] = (row << 32)[1:] + start[1:] > reach[:-1]
+    last = np.append(np.flatnonzero(new)[1:], len(row))[: int(new.sum())] - 1
+    return row[new], start[new], reach[last] & 2**32 - 1
+
+
 # -- the index -----------------------------------------------------------------------------------
 
 
