@@ -1,7 +1,7 @@
 """Reproducible splits: stratified holdout, stratified / plain / group folds, seeded sample.
 
 All orders are ``(md5(cast(id as string)), id)``, the same in every engine, and
-every rank comes from the skew-safe ``group_rank`` (no whole-group sort).
+ranks come from the skew-safe ``group_rank`` (no whole-group sort).
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomcast.operators.stats import group_rank
+from roomcast.operators.stats import group_rank, order_hash
 
 
 def stratified_holdout(df: DataFrame, id_col: str, strat_col: str, test_frac: float = 0.2) -> DataFrame:
@@ -23,7 +23,7 @@ def fold_count(df: DataFrame, label_col: str, max_folds: int = 5) -> int:
     smallest = df.groupBy(label_col).count().agg(F.min("count")).first()[0]
     k = min(max_folds, int(smallest or 0))
     if k < 2:
-        raise ValueError("Not enough samples per class for cross-validation.")
+        raise ValueError(f"cross-validation needs two scans in every class; the smallest has {smallest or 0}")
     return k
 
 
@@ -52,6 +52,5 @@ def group_folds(df: DataFrame, group_col: str, k: int) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    """The ``n`` rows first in ``(md5(id), id)`` order: reproducible in any engine."""
-    ranked = group_rank(df, [], id_col, "_rn", None)
-    return ranked.where(F.col("_rn") <= n).drop("_rn")
+    """The ``n`` rows first in ``(md5(id), id)`` order: each task keeps its own first n, no shuffle of the table."""
+    return df.orderBy(order_hash(id_col), id_col).limit(n)

@@ -8,11 +8,11 @@ work on a histogram first:
   md5 form buckets; per-(group, bucket) counts are a partial aggregate, a
   running sum over at most ``16**bucket_chars`` buckets per group gives each
   bucket's offset, and only rows of one bucket are sorted together.
-* ``exact_quantiles`` counts distinct values per group (partial aggregate),
-  buckets the value range, locates the buckets holding the wanted order
-  positions from bucket counts, and only sorts the distinct values of those
-  buckets.  Results equal ``percentile`` / ``quantile_cont`` (linear
-  interpolation between order statistics).
+* ``exact_quantiles`` counts distinct values per group (partial aggregate) and
+  range-partitions them by sampled bounds, so ranges hold about equally many
+  distinct values however far outliers lie.  Range totals locate the ranges that
+  hold the wanted order positions; only those are sorted.  Results equal
+  ``percentile`` / ``quantile_cont`` (linear interpolation).
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def group_rank(
     local = Window.partitionBy(*group_cols, b).orderBy(h, id_col)
     ranked = keyed.withColumn("_lrn", F.row_number().over(local))
     out = ranked.join(hist, on=[*group_cols, b], how="inner")
-    out = out.withColumn(rank_col, (F.col("_off") + F.col("_lrn")).cast("int"))
+    out = out.withColumn(rank_col, (F.col("_off") + F.col("_lrn")).cast("long"))
     return out.drop(h, b, "_off", "_lrn")
 
 
@@ -63,71 +63,62 @@ def exact_quantiles(
     group_cols: list[str],
     value_col: str,
     probs: list[float],
-    n_buckets: int = 4096,
     prefix: str = "q",
     count_col: str | None = None,
-    small_rows: int = 2_000_000,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group.
 
     Returns ``group..., n, <prefix>_<i>`` (one column per entry of ``probs``, in
-    order).  Null and NaN values are ignored; a group with no value is absent.
-    ``count_col`` names a multiplicity column when rows are pre-aggregated.
+    order).  Null and NaN values are ignored; a group with no value is absent; null
+    keys form a group.  ``count_col`` names a multiplicity column when rows are
+    pre-aggregated; ``partitions`` sets the number of ranges (default: the session's).
     """
-    if not group_cols:
-        out = exact_quantiles(df.withColumn("_g0", F.lit(0)), ["_g0"], value_col, probs, n_buckets, prefix, count_col)
-        return out.drop("_g0")
     v = F.nanvl(F.col(value_col).cast("double"), F.lit(None).cast("double"))
     mult = F.col(count_col).cast("long") if count_col else F.lit(1).cast("long")
+    keys = [F.col(c) for c in group_cols] or [F.lit(0).alias("_g0")]
+    # a struct key compares null-safely in the joins below
     vc = (
-        df.select(*group_cols, v.alias("_v"), mult.alias("_m"))
+        df.select(F.struct(*keys).alias("_g"), v.alias("_v"), mult.alias("_m"))
         .where(F.col("_v").isNotNull() & (F.col("_m") > 0))
-        .groupBy(*group_cols, "_v")
+        .groupBy("_g", "_v")
         .agg(F.sum("_m").alias("_c"))
     )
-    # The value-count table feeds several branches below; write it once.
-    vc = materialize(vc)
-    if vc.count() <= small_rows:
-        # Size-checked fast path: every group's distinct values together are
-        # small, so the built-in exact percentile (a map of value -> count per
-        # group) is bounded even if one group holds all of them.
-        pct = F.percentile(F.col("_v"), [float(p) for p in probs], F.col("_c"))
-        out = vc.groupBy(*group_cols).agg(F.sum("_c").alias("n"), pct.alias("_q"))
-        return out.select(*group_cols, "n", *[F.col("_q")[i].alias(f"{prefix}_{i}") for i in range(len(probs))])
-    stats = vc.groupBy(*group_cols).agg(
-        F.sum("_c").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    span = F.col("_hi") - F.col("_lo")
-    bucket = F.when(span > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / span * n_buckets), F.lit(n_buckets - 1))).otherwise(F.lit(0)).cast("int")
-    vcb = vc.join(stats.select(*group_cols, "_lo", "_hi"), on=group_cols, how="inner").withColumn("_b", bucket).drop("_lo", "_hi")
-    hist = vcb.groupBy(*group_cols, "_b").agg(F.sum("_c").alias("_bc"))
-    run = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_bend", F.sum("_bc").over(run)).withColumn("_bstart", F.col("_bend") - F.col("_bc"))
+    by_range = vc.repartitionByRange(partitions, "_g", "_v") if partitions else vc.repartitionByRange("_g", "_v")
+    # written once: the range number is then fixed for every later read
+    cut = materialize(by_range.withColumn("_p", F.spark_partition_id()))
 
-    # Wanted 0-based positions: floor and ceil of (n-1)*p for every p.
-    pos_rows = []
+    totals = cut.groupBy("_g", "_p").agg(F.sum("_c").alias("_pc"))
+    run = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = totals.select(
+        "_g", "_p", (F.sum("_pc").over(run) - F.col("_pc")).alias("_from"), F.sum("_pc").over(run).alias("_to"),
+        F.sum("_pc").over(Window.partitionBy("_g")).alias("n"),
+    )
+    # Wanted 0-based positions: floor and ceil of (n-1)*p for every p; each range keeps those inside it.
+    wanted = []
     for i, p in enumerate(probs):
         h = (F.col("n") - 1) * F.lit(float(p))
-        pos_rows.append(F.struct(F.lit(i).alias("_i"), F.lit(0).alias("_side"), F.floor(h).cast("long").alias("_pos"), (h - F.floor(h)).alias("_frac")))
-        pos_rows.append(F.struct(F.lit(i).alias("_i"), F.lit(1).alias("_side"), F.ceil(h).cast("long").alias("_pos"), (h - F.floor(h)).alias("_frac")))
-    targets = stats.select(*group_cols, "n", F.explode(F.array(*pos_rows)).alias("_t")).select(
-        *group_cols, "n", "_t.*"
+        for side, pos in ((0, F.floor(h)), (1, F.ceil(h))):
+            wanted.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), pos.cast("long").alias("pos"), (h - F.floor(h)).alias("frac")))
+    targets = (
+        totals.select("_g", "_p", "_from", "_to", "n", F.explode(F.array(*wanted)).alias("t"))
+        .where((F.col("t.pos") >= F.col("_from")) & (F.col("t.pos") < F.col("_to")))
+        .groupBy("_g", "_p", "_from", "n")
+        .agg(F.collect_list("t").alias("ts"))  # at most two entries per quantile
     )
-    tb = targets.join(hist, on=group_cols, how="inner").where(
-        (F.col("_pos") >= F.col("_bstart")) & (F.col("_pos") < F.col("_bend"))
-    ).select(*group_cols, "n", "_i", "_side", "_pos", "_frac", "_b", "_bstart")
-
-    needed = tb.select(*group_cols, "_b").distinct()
-    inb = vcb.join(needed, on=[*group_cols, "_b"], how="left_semi")
-    within = Window.partitionBy(*group_cols, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inb = inb.withColumn("_vend", F.sum("_c").over(within)).withColumn("_vstart", F.col("_vend") - F.col("_c"))
-    picked = tb.join(inb, on=[*group_cols, "_b"], how="inner").where(
-        (F.col("_pos") - F.col("_bstart") >= F.col("_vstart")) & (F.col("_pos") - F.col("_bstart") < F.col("_vend"))
+    inside = Window.partitionBy("_g", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = (
+        cut.join(targets, ["_g", "_p"])
+        .withColumn("_end", F.col("_from") + F.sum("_c").over(inside))
+        .withColumn("_hit", F.filter("ts", lambda t: (t["pos"] >= F.col("_end") - F.col("_c")) & (t["pos"] < F.col("_end"))))
+        .where(F.size("_hit") > 0)
+        .select("_g", "n", "_v", F.explode("_hit").alias("t"))
     )
-    agg_exprs = []
+    aggs = []
     for i in range(len(probs)):
-        lo = F.max(F.when((F.col("_i") == i) & (F.col("_side") == 0), F.col("_v")))
-        hi = F.max(F.when((F.col("_i") == i) & (F.col("_side") == 1), F.col("_v")))
-        fr = F.max(F.when(F.col("_i") == i, F.col("_frac")))
-        agg_exprs.append((lo + (hi - lo) * fr).alias(f"{prefix}_{i}"))
-    return picked.groupBy(*group_cols, "n").agg(*agg_exprs)
+        this = F.col("t.i") == i
+        lo = F.max(F.when(this & (F.col("t.side") == 0), F.col("_v")))
+        hi = F.max(F.when(this & (F.col("t.side") == 1), F.col("_v")))
+        aggs.append((lo + (hi - lo) * F.max(F.when(this, F.col("t.frac")))).alias(f"{prefix}_{i}"))
+    out = rows.groupBy("_g", "n").agg(*aggs)
+    return out.select(*[F.col("_g")[c].alias(c) for c in group_cols], "n", *[f"{prefix}_{i}" for i in range(len(probs))])
