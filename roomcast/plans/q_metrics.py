@@ -66,7 +66,7 @@ def weighted_prf(spark, sf):
 
 @register("confusion_norm", sql=f"""
 WITH {PAIRS_SQL},
-labs AS (SELECT DISTINCT y_true AS l FROM pairs),
+labs AS (SELECT y_true AS l FROM pairs UNION SELECT y_pred FROM pairs),
 grid AS (SELECT a.l AS true_label, b.l AS pred_label FROM labs a CROSS JOIN labs b),
 cnt AS (SELECT y_true AS true_label, y_pred AS pred_label, count(*) AS c FROM pairs GROUP BY 1, 2),
 full_ AS (SELECT g.true_label, g.pred_label, coalesce(c.c, 0) AS count FROM grid g
@@ -77,12 +77,8 @@ SELECT true_label, pred_label, count,
 FROM full_
 """)
 def confusion_norm(spark, sf):
-    """Row-normalised confusion over the sorted label set of the data (a bounded dimension)."""
-    pairs = _pairs(spark, sf)
-    labels = [r[0] for r in pairs.select("y_true").distinct().orderBy("y_true").limit(10_001).collect()]
-    if len(labels) > 10_000:
-        raise ValueError("label set too large for a dense confusion matrix")
-    cm = M.confusion(pairs, "y_true", "y_pred", labels)
+    """Row-normalised confusion over the labels that are true or predicted."""
+    cm = M.confusion_dense(_pairs(spark, sf), "y_true", "y_pred")
     return cm.select("true_label", "pred_label", "count", r6(F.col("share")).alias("share"))
 
 
@@ -134,7 +130,7 @@ def dataset_summary(spark, sf):
         F.countDistinct("room_id").alias("room_classes"),
         F.countDistinct("floor").alias("floor_classes"),
     )
-    n_ap = len(C.aps(spark, sf))
+    n_ap = C.apdim(spark, sf).count()
     return agg.select(
         "samples", F.lit(n_ap).cast("int").alias("ap_features"), F.lit(len(IMU_COLUMNS)).cast("int").alias("imu_features"),
         F.lit(n_ap + len(IMU_COLUMNS)).cast("int").alias("total_features"), "room_classes", "floor_classes",
