@@ -24,11 +24,8 @@ def clean_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def apdim(spark: SparkSession, sf: str) -> DataFrame:
-    return feat.ap_dimension(clean_cells(spark, sf))
-
-
-def aps(spark: SparkSession, sf: str) -> list[str]:
-    return feat.ap_list(apdim(spark, sf))
+    """The AP schema; names come from the raw readings, as cleaning drops none."""
+    return feat.ap_dimension(fp.raw_readings(lineitem(spark, sf)))
 
 
 def imu_filled(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,7 +35,7 @@ def imu_filled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    return feat.feature_long(clean_cells(spark, sf), aps(spark, sf), imu_filled(spark, sf), IMU_COLUMNS)
+    return feat.feature_long(clean_cells(spark, sf), apdim(spark, sf), imu_filled(spark, sf), IMU_COLUMNS)
 
 
 def n_scans(spark: SparkSession, sf: str) -> int:

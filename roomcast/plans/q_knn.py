@@ -202,6 +202,7 @@ def knn_by_partition(spark, sf):
 # --- the fingerprint pipeline end to end (M5: L1 training + holdout scoring) -----------
 
 from roomcast.functions.exprs import IMU_COLUMNS  # noqa: E402
+from roomcast.session import materialize  # noqa: E402
 from roomcast.operators import features as feat  # noqa: E402
 from roomcast.plans.sqlparts import CELLS, FEATURES, IMU, LABELS  # noqa: E402
 from roomcast.sources import fingerprints as fp  # noqa: E402
@@ -215,7 +216,7 @@ sp AS (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY md5(CAST(scan_
 split AS (SELECT scan_id, room_id, rn <= round(n * 0.2) AS is_test FROM sp),
 """ + IMU.replace("FROM imu WHERE imu_name IS NOT NULL GROUP BY 1", f"FROM imu WHERE imu_name IS NOT NULL AND {_TRAIN} GROUP BY 1")
     + ", " + FEATURES.replace("FROM feat GROUP BY 1, 2, 3", f"FROM feat WHERE {_TRAIN} GROUP BY 1, 2, 3") + """,
-zz AS (SELECT f.scan_id, f.pos, (f.value - s.median) / s.scale AS z FROM feat f JOIN scaler2 s USING (feature, pos, fill)),
+zz AS (SELECT f.scan_id, f.pos, (f.value - coalesce(s.median, f.fill)) / coalesce(s.scale, 1.0) AS z FROM feat f LEFT JOIN scaler2 s USING (feature, pos, fill)),
 vec AS (SELECT scan_id, list(z ORDER BY pos) AS v FROM zz GROUP BY 1),
 q AS (SELECT v.scan_id AS query_id, s.room_id AS true_label, v.v FROM vec v JOIN split s USING (scan_id) WHERE s.is_test),
 t AS (SELECT v.scan_id AS ref_id, s.room_id AS label, v.v FROM vec v JOIN split s USING (scan_id) WHERE NOT s.is_test),
@@ -234,10 +235,10 @@ def fingerprint_predictions(spark, sf, k=7):
     readings = fp.imu_readings(li)
     med = feat.imu_medians(readings.join(train_ids, "scan_id", "left_semi"))
     imu_vals = feat.imu_impute(C.scans(spark, sf), readings, med, IMU_COLUMNS)
-    features = feat.feature_long(C.clean_cells(spark, sf), C.aps(spark, sf), imu_vals, IMU_COLUMNS)
+    features = feat.feature_long(C.clean_cells(spark, sf), C.apdim(spark, sf), imu_vals, IMU_COLUMNS)
     params = feat.robust_fit(features.join(train_ids, "scan_id", "left_semi"), train_ids.count())
     vecs = feat.scaled_vectors(C.scans(spark, sf), features, params)
-    sv = vecs.join(split, "scan_id")
+    sv = materialize(vecs.join(split, "scan_id"))  # read by both sides of the join and by the vote
     queries = sv.where("is_test").select(F.col("scan_id").alias("query_id"), F.col("room_id").alias("true_label"), "vec")
     refs = sv.where(~F.col("is_test")).select(F.col("scan_id").alias("ref_id"), F.col("room_id").alias("label"), "vec")
     nn = knn.knn_join(queries, refs, k, "cosine", payload=("label",)).join(queries.select("query_id", "true_label"), "query_id")

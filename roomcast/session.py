@@ -49,8 +49,8 @@ def get_spark(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; only when it is unset (local tests) do we create a
-    scratch folder of our own.
+    The cluster names it.  Where it is unset, a local session gets a scratch
+    folder of its own and any other master is refused: executors would not share it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,6 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="roomcast-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

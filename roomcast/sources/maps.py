@@ -60,20 +60,24 @@ MANIFEST_ENTRY = T.StructType([
 def read_floor_records(spark: SparkSession, paths_by_floor: dict[int, str]) -> DataFrame:
     """S3: JSON arrays of room records, floors ascending; ``(file_ord, pos, record...)``.
 
-    A file whose payload is not a list fails the parse (null array) and raises.
-    ``floor`` is cast to int when it can be; ``room_id`` is trimmed.
+    A file that does not hold a JSON array raises.  Elements that are not objects are
+    skipped; ``pos`` is the element's ordinal in the file.  ``floor`` is cast to int when
+    it can be; ``room_id`` is trimmed.
     """
     frames = []
     for i, fl in enumerate(sorted(paths_by_floor)):
-        txt = spark.read.text(paths_by_floor[fl], wholetext=True)
-        arr = F.from_json("value", T.ArrayType(ROOM_SCHEMA))
-        frames.append(txt.select(F.lit(i).alias("file_ord"), F.posexplode(arr).alias("pos", "r")))
+        txt = spark.read.text(paths_by_floor[fl], wholetext=True).select(F.trim(F.regexp_replace("value", r"^\s+", "")).alias("v"))
+        items = F.when(F.col("v").startswith("["), F.from_json("v", T.ArrayType(T.StringType())))
+        items = F.coalesce(items, F.raise_error(F.lit(f"room file of floor {fl} is not a JSON array")).cast("array<string>"))
+        one = txt.select(F.lit(i).alias("file_ord"), F.posexplode(items).alias("pos", "item"))
+        one = one.where(F.ltrim("item").startswith("{"))
+        frames.append(one.select("file_ord", "pos", F.from_json("item", ROOM_SCHEMA).alias("r")))
     df = frames[0]
     for f in frames[1:]:
         df = df.unionByName(f)
     return df.select(
         "file_ord", "pos", F.trim("r.room_id").alias("room_id"),
-        F.coalesce(F.trim("r.floor").try_cast("int")).alias("floor"),
+        F.trim("r.floor").try_cast("int").alias("floor"),
         F.lower("r.type").alias("type"), F.coalesce("r.accessible", F.lit(False)).alias("accessible"),
         "r.x", "r.y", "r.x1", "r.y1", "r.x2", "r.y2", "r.floor_plan", "r.center_x", "r.center_y", "r.grid_spacing",
     )

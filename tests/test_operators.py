@@ -4,12 +4,16 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from roomcast.operators import grid as G
+from roomcast.operators import metrics as M
+from roomcast.operators.features import scaled_vectors
 from roomcast.operators.knn import knn_join
 from roomcast.operators.stats import exact_quantiles, group_rank
 from roomcast.plans import q_routes as R
+from roomcast.sources.maps import read_floor_records
 from tests.conftest import SF_SMALL
 
 
@@ -43,18 +47,77 @@ def test_knn_strategies_match_brute_force(spark):
             assert got == want, (metric, kw)
 
 
-def test_exact_quantiles_both_paths(spark):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 500), "v": rng.normal(size=500).round(3)})
+    pdf.loc[7, "v"] = 1e12  # an outlier must not gather the rest in one range
     df = spark.createDataFrame(pdf)
-    for small in (2_000_000, 0):
-        got = exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.95], small_rows=small).toPandas().sort_values("g")
+    for parts in (1, 7, None):
+        got = exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.95, 1.0], partitions=parts).toPandas().sort_values("g")
+        assert len(got) == 3
         for _, row in got.iterrows():
             vals = pdf.loc[pdf.g == row.g, "v"].to_numpy()
-            for i, p in enumerate([0.25, 0.5, 0.95]):
+            assert row.n == len(vals)
+            for i, p in enumerate([0.25, 0.5, 0.95, 1.0]):
                 assert abs(row[f"q_{i}"] - np.percentile(vals, p * 100)) < 1e-9
 
 
+def test_exact_quantiles_null_key_and_counts(spark):
+    df = spark.createDataFrame([(None, 1.0, 3), (None, 9.0, 1), ("a", float("nan"), 2), ("a", 4.0, 2), ("b", None, 1)], "g string, v double, c int")
+    got = {r.g: (r.n, r.q_0) for r in exact_quantiles(df, ["g"], "v", [0.5], count_col="c").collect()}
+    assert got == {None: (4, 1.0), "a": (2, 4.0)}
+    assert [r.q_0 for r in exact_quantiles(df, [], "v", [0.5], count_col="c").collect()] == [2.5]
+
+
+def test_confusion_keeps_predicted_only_label(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "z"), ("b", "b")], "t string, p string")
+    got = {(r.true_label, r.pred_label): (r["count"], r.share) for r in M.confusion_dense(df, "t", "p").collect()}
+    assert len(got) == 9 and got["a", "z"] == (1, 0.5) and got["z", "z"] == (0, 0.0) and got["b", "b"] == (1, 1.0)
+
+
+def test_scaled_vectors_with_a_feature_first_heard_after_the_fit(spark):
+    feats = spark.createDataFrame(
+        [(1, "AP1", 1, -50.0, -110.0), (1, "AP2", 2, -60.0, -110.0), (2, "AP3", 3, -70.0, -110.0), (1, "acc", 4, 2.0, 0.0), (2, "acc", 4, 4.0, 0.0)],
+        "scan_id int, feature string, pos int, value double, fill double",
+    )
+    params = spark.createDataFrame(
+        [("AP1", 1, -110.0, -100.0, 10.0), ("AP3", 3, -110.0, -90.0, 20.0), ("acc", 4, 0.0, 2.0, 2.0)],
+        "feature string, pos int, fill double, median double, scale double",
+    )
+    scans = spark.createDataFrame([(1,), (2,)], "scan_id int")
+    got = {r.scan_id: list(r.vec) for r in scaled_vectors(scans, feats, params).collect()}
+    assert got == {1: [5.0, 50.0, -1.0, 0.0], 2: [-1.0, 0.0, 1.0, 1.0]}
+
+
+def test_read_floor_records(spark, tmp_path):
+    good, bad = tmp_path / "f1.json", tmp_path / "f2.json"
+    good.write_text(' \n[5, {"room_id": " r1 ", "floor": "1", "type": "Room", "x": 2}, null, {"room_id": "r2"}]')
+    bad.write_text('{"room_id": "r1"}')
+    rows = read_floor_records(spark, {1: str(good)}).orderBy("pos").collect()
+    assert [(r.pos, r.room_id, r.floor, r.type) for r in rows] == [(1, "r1", 1, "room"), (3, "r2", None, None)]
+    with pytest.raises(Exception, match="not a JSON array"):
+        read_floor_records(spark, {1: str(bad)}).collect()
+
+
+def test_best_routes_prefers_key_pairs_and_keeps_every_request(spark):
+    """Floors 1 and 2 are free 1 x 12 corridors; elevator 7 stands on both, elevators 1 and 2 are nearer."""
+    cells = spark.createDataFrame([(f, 0, x, True) for f in (1, 2) for x in range(12)], "floor int, y int, x int, walkable boolean")
+    at = [(0, "r.a", 1, "room", 0), (1, "r.b", 2, "room", 0), (2, "elevator7", 1, "elevator", 10), (3, "Elevator-7", 2, "elevator", 9),
+          (4, "elevator1", 1, "elevator", 1), (5, "elevator2", 2, "elevator", 1), (6, "stair1", 1, "stairway", 0), (7, "walled", 1, "room", None)]
+    rooms = spark.createDataFrame([(o, i, f, t, t != "stairway", 0, 0) for o, i, f, t, _ in at], "ord int, room_id string, floor int, type string, accessible boolean, y int, x int")
+    snapped = spark.createDataFrame([(i, f, 0, x) for _, i, f, _, x in at if x is not None], "room_id string, floor int, cy int, cx int")
+    dist = G.bfs(cells, snapped.select(F.col("room_id").alias("src"), "floor", F.col("cy").alias("y"), F.col("cx").alias("x")), hops=3)
+    req = spark.createDataFrame([(1, 0, 1, True), (2, 0, 99, True), (3, 99, 0, False), (4, 0, 2, False), (5, 0, 7, False)], "req int, start_ord int, goal_ord int, accessible boolean")
+    got = {r.req: (r.status, r.steps, r.connector_start, r.connector_goal) for r in G.best_routes(req, rooms, snapped, dist).collect()}
+    assert got == {
+        1: ("ok", 19, "elevator7", "Elevator-7"), 2: ("unknown_room", None, None, None), 3: ("unknown_room", None, None, None),
+        4: ("ok", 10, None, None), 5: ("blocked", None, None, None),
+    }
+    no_key = rooms.where("room_id <> 'Elevator-7'")
+    r = G.best_routes(req.where("req = 1"), no_key, snapped, dist).first()
+    assert (r.steps, r.connector_start, r.connector_goal) == (2, "elevator1", "elevator2")
+
+
 def test_group_rank_matches_sort(spark):
     import hashlib
 
