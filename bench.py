@@ -36,6 +36,7 @@ HEADLINE = [
     "session_decisions",
     "payload_validate",
     "route_table",
+    "fingerprint_knn_room",
 ]
 
 
