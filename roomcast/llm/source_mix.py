@@ -131,8 +131,11 @@ def mix(
         .agg(F.min(F.struct("bin", (F.col("left_over") - F.col("upto") + F.col("words")).alias("room"))).alias("end"))
         .select(F.col("source").alias("s"), "end.bin", "end.room")
     )
-    plan = plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.struct("source", "source_size", "target", "epochs", F.coalesce("bin", F.lit(bins)).alias("bin"), "room").alias(mine)
+    # written, so that the planner knows its size: one row per source, broadcast below Spark's own threshold
+    plan = materialize(
+        plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(
+            F.struct("source", "source_size", "target", "epochs", F.coalesce("bin", F.lit(bins)).alias("bin"), "room").alias(mine)
+        )
     )
     # a third of all rows may have one source: its rows meet SALTS copies of its plan row
     salted = plan.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
