@@ -47,7 +47,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix by source weights: rows once per epoch, the last one of a source cut at its target."""
     size, key, tie = fresh(docs, "size", "es_key", "es_tie")
-    drawn = source_mix.draw(docs, into=(size, key, tie))
+    drawn = materialize(source_mix.draw(docs, into=(size, key, tie)))  # sums and both parts of the mix read it
     taken = fresh(drawn, "source_size", "target", "taken")[2]
     mixed = source_mix.mix(drawn, SOURCE_WEIGHTS, MAX_EPOCHS, size_col=size, key_col=key, tie_col=tie)
     return source_mix.expand(mixed, size_col=size, taken_col=taken).select(*docs.columns)
