@@ -55,7 +55,6 @@ HOT = 8192
 BLOCK_SEGMENTS = 16384
 GROUP_BYTES = 2 << 20
 WORD_BYTES = 6
-FP_BITS = 19
 
 
 # -- anchors -----------------------------------------------------------------------------------
@@ -88,16 +87,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _fp(text: Column) -> Column:
-    """Tells rows that share an id apart; short, so that it packs into a place."""
-    return F.xxhash64(text).bitwiseAND((1 << FP_BITS) - 1)
+    """Tells rows that share an id, or have none, apart: all 64 bits, as any number of rows may."""
+    return F.xxhash64(text)
 
 
-_PLACES = "h long, id long, place long"
+_PLACES = "h long, id long, fp long, place long"
 
 
 def _places(keyed: DataFrame, window: int, k: int, full: bool) -> DataFrame:
     """Anchor hashes of all segments; ``full`` adds the document and the place, packed (see _unpack)."""
-    names = ("h", "id", "place") if full else ("h",)
+    names = ("h", "id", "fp", "place") if full else ("h",)
     schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,16 +107,16 @@ def _places(keyed: DataFrame, window: int, k: int, full: bool) -> DataFrame:
                 out = [pa.array(h.view(np.int64))]
                 if full:
                     take = pa.array(row)
-                    fp = part.column("fp").to_numpy(zero_copy_only=False)[row]
-                    out += [part.column("id").take(take), pa.array(fp << 44 | start << 13 | offset << 7 | count << 1)]
+                    out += [part.column("id").take(take), part.column("fp").take(take)]
+                    out.append(pa.array(start << 13 | offset << 7 | count << 1))
                 yield pa.RecordBatch.from_arrays(out, schema=schema)
 
     return keyed.mapInArrow(run, _PLACES if full else "h long")
 
 
 def _unpack(place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, anchor offset, windows, hot); above them stands the row's fp."""
-    return place >> 13 & 2**31 - 1, place >> 7 & 63, place >> 1 & 63, (place & 1).astype(bool)
+    """(start, anchor offset, windows, hot)."""
+    return place >> 13, place >> 7 & 63, place >> 1 & 63, (place & 1).astype(bool)
 
 
 # -- segments on their way to a shard ------------------------------------------------------------
@@ -418,7 +417,7 @@ def repeats(
     places = (
         _places(keyed, window, k, True)
         .join(often, F.bitwise_not("h") == F.col("x"))
-        .groupBy("id", F.shiftrightunsigned("place", 44).alias("fp"))
+        .groupBy("id", "fp")
         .agg(F.collect_set(F.col("place") + F.col("is_hot")).alias("places"))
     )
     found = places.select(F.col("id").alias("i"), F.col("fp").alias("f"), "places")

@@ -214,6 +214,26 @@ def test_substring_dedup_on_repetitive_texts(spark, hot):
     assert all(WORD.findall(stripped[i]) == words for i, words in _removed(docs, 8).items())
 
 
+def test_substring_dedup_of_many_texts_without_id(spark):
+    rng = np.random.default_rng(11)
+    passage = " ".join(f"p{i}" for i in range(25))
+    own = [" ".join(f"t{i}_{j}" for j in range(int(rng.integers(1, 30)))) for i in range(3000)]
+    texts = [f"{t} {passage}" if i % 2 else f"{passage} {t}" for i, t in enumerate(own)]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(5, f"{t} x{i}") for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    spans = fm_dedup.repeats(df).cache()
+    want = Counter()
+    for i, t in enumerate(own):
+        want[None, t] += 1
+        # the text with an id comes after the same one without: all but its last word is cut
+        want[5, f"x{i}"] += 1
+    got = Counter((r["doc_id"], r["text"]) for r in fm_dedup.strip(df, spans).collect())
+    assert sum(got.values()) == 6000
+    left = got - want
+    assert len(left) == 1 and passage in next(iter(left))[1]  # the first of the texts keeps the passage
+    hashes = Counter((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in got.elements())
+    assert Counter((r["doc_id"], r["kept_sha256"]) for r in fm_dedup.digests(df, spans).collect()) == hashes
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), min_size=4, max_size=14), min_size=1, max_size=8))
 def test_fm_index_counts_and_repeats(segments):
