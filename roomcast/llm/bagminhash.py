@@ -13,8 +13,9 @@ so a text costs about  shingles + slots * log(slots)  points.
 pair of similarity 0.8 is missed with a probability of 5e-8.  Candidates are verified
 exactly on the whole texts.
 
-Large groups.  Texts of equal words collapse to the one with the smallest id before
-banding.  In a bucket all members are first compared with one leader, the text that
+Large groups.  Texts of equal words collapse to one numbered node before banding, known
+by a 128-bit hash of the words, whatever ids their rows have; the first row (least id, null
+last, then a hash of the text) lends its text.  In a bucket all members are first compared with one leader, the text that
 shares most with others; a group of copies of one text costs one comparison per member.
 Buckets whose members are then still in different classes are compared member by
 member, in pairs of blocks of bounded size, by one matrix product each, so no link
@@ -22,10 +23,10 @@ between classes is lost and no pair is ever a row.  Classes are connected compon
 verified links.
 
 Edge cases: null, empty and blank texts are alone in their class; equal rows are in one
-class; ties cannot occur (classes are named by their least id); rows that share an id
-are one node with the links of all of them; a row with a null id links nothing and takes
-the class of an equal text, else null; an empty table gives an empty result; other
-columns are ignored.
+class; ties cannot occur (classes are named by their least id that is not null); rows that
+share an id are classed each by its own text, so an id with several texts may name several
+classes; rows with a null id are compared like all others, and a class without any id is
+named null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomcast.llm.components import components
@@ -119,10 +120,20 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
+def text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits that, with the id, tell rows apart."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    t1, t2 = text_key(text)
+    return docs.select(F.col(id_col).cast("long").alias("id"), t1.alias("t1"), t2.alias("t2"), text.alias("text"))
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, slots: int, bands: int) -> DataFrame:
-    """(id, w1, w2, keys): a 128-bit hash of the words and the band keys; no keys and null hashes without words."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = pa.schema([("id", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(id, t1, t2, w1, w2, keys): text key, 128-bit hash of the words, band keys; null w1, w2 and no keys without words."""
+    schema = pa.schema([(n, pa.int64()) for n in ("id", "t1", "t2", "w1", "w2")] + [("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +146,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, slots: int, bands: in
                 w2 = span_hashes(mix(words + _ODD[2]), first[:-1], first[1:]) if len(words) else w1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("id"),
+                        *(part.column(c) for c in ("id", "t1", "t2")),
                         pa.array(w1.view(np.int64), mask=~some),
                         pa.array(w2.view(np.int64), mask=~some),
                         pa.ListArray.from_arrays(
@@ -146,7 +157,8 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, slots: int, bands: in
                     schema=schema,
                 )
 
-    return rows.mapInArrow(run, "id long, w1 long, w2 long, keys array<long>")
+    ddl = "id long, t1 long, t2 long, w1 long, w2 long, keys array<long>"
+    return _keyed(docs, id_col, text_col).mapInArrow(run, ddl)
 
 
 def overlap(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
@@ -270,26 +282,33 @@ def _rest_links(
     return grouped.groupBy("family", "p", "q").applyInArrow(compare, "a long, b long").filter("a < b").distinct()
 
 
-def classes(
-    docs: DataFrame,
-    threshold: float = THRESHOLD,
-    slots: int = SLOTS,
-    bands: int = BANDS,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """(id, class_id) of every row; class_id is the least id of the class."""
+def _same_words() -> Column:
+    return (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))
+
+
+def _rooted(
+    docs: DataFrame, threshold: float, slots: int, bands: int, id_col: str, text_col: str
+) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and (x1, x2, first, root) of every node: hash of its words, its first row and its class."""
     sketches = materialize(_sketches(docs, id_col, text_col, slots, bands))
-    copies = sketches.filter("w1 is not null").groupBy("w1", "w2").agg(F.min("id").alias("rep"))
-    reps = copies.select(F.col("w1").alias("x1"), F.col("w2").alias("x2"), "rep")
-    same = (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))
-    # band rows of the text that stands for its copies; copies of one id do not repeat them
-    rows = sketches.join(reps, same & (F.col("id") == F.col("rep"))).select("id", F.explode("keys").alias("key")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "t1", "t2")).alias("first")
+    copies = sketches.filter("w1 is not null").groupBy(F.col("w1").alias("x1"), F.col("w2").alias("x2")).agg(first)
+    nodes = materialize(copies.withColumn("node", F.monotonically_increasing_id()))  # written: the numbers stay
+    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))
+    # band rows of the text that stands for its copies; rows that repeat it do not repeat them
+    rows = sketches.join(nodes, _same_words() & is_first).select(F.col("node").alias("id"), F.explode("keys").alias("key")).distinct()
     buckets = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
     buckets = buckets.filter("least < most").select(F.col("key").alias("k"), "n")
     members = materialize(rows.join(buckets, F.col("key") == F.col("k")).select("key", "id", "n"))
     # the text that copies were made from shares more buckets with them than they do with each other
-    known = members.groupBy("id").agg(F.sum("n").alias("known")).select(F.col("id").alias("i"), "known")
+    known = members.groupBy("id").agg(F.sum("n").alias("known"))
+    texts = materialize(
+        _keyed(docs, id_col, text_col)
+        .join(nodes.join(known.select(F.col("id").alias("node")), "node"), is_first)
+        .select(F.col("node").alias("id"), "text")
+        .dropDuplicates(["id"])
+    )
+    known = known.select(F.col("id").alias("i"), "known")
     leads = (
         members.join(known, F.col("id") == F.col("i"))
         .groupBy("key")
@@ -301,10 +320,25 @@ def classes(
         .select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
         .distinct()
     )
-    links = materialize(overlap(pairs, docs, threshold, id_col, text_col))
-    rest = _rest_links(members.select("key", "id"), components(links), docs, threshold, id_col, text_col)
-    roots = components(links.unionByName(rest)).select(F.col("id").alias("node"), "root")
-    named = sketches.select("id", "w1", "w2").join(reps, same, "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    return named.join(roots, F.col("rep") == F.col("node"), "left").select(
-        F.col("id").alias(id_col), F.coalesce("root", "rep").alias("class_id")
+    links = materialize(overlap(pairs, texts, threshold, "id", "text"))
+    rest = _rest_links(members.select("key", "id"), components(links), texts, threshold, "id", "text")
+    roots = components(links.unionByName(rest))
+    joined = nodes.join(roots, F.col("node") == F.col("id"), "left")
+    return sketches, joined.select("x1", "x2", "first", F.coalesce("root", "node").alias("root"))
+
+
+def classes(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    slots: int = SLOTS,
+    bands: int = BANDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(id, class_id) of every row; class_id is the least id of the class."""
+    sketches, rooted = _rooted(docs, threshold, slots, bands, id_col, text_col)
+    names = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first.id").alias("name"))
+    named = rooted.join(names, F.col("root") == F.col("r")).select("x1", "x2", "name")
+    return sketches.select("id", "w1", "w2").join(named, _same_words(), "left").select(
+        F.col("id").alias(id_col), F.when(F.col("w1").isNull(), F.col("id")).otherwise(F.col("name")).alias("class_id")
     )

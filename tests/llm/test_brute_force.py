@@ -277,6 +277,22 @@ def test_near_duplicates_of_rows_that_share_ids(spark):
     assert all(rows[i] == i for i in (4, 5, 6, 9, 10, 11, 12, 13, 14, 15))
 
 
+def test_near_duplicates_without_ids(spark):
+    rng = np.random.default_rng(3)
+    texts = [[f"{g}_{x}" for x in rng.integers(0, 900, 100)] for g in range(4)]
+
+    def near(g, at):
+        return " ".join([*texts[g][:at], "changed", *texts[g][at + 1 :]])
+
+    # 0: near copies of a text that occurs under null ids alone; 1: no ids at all; 2: an id with two texts
+    rows = [(None, near(0, 10)), (None, near(0, 10)), (21, near(0, 12)), (20, near(0, 14))]
+    rows += [(None, near(1, 10)), (None, near(1, 12)), (9, near(2, 10)), (8, near(2, 12)), (9, near(3, 10)), (None, ""), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["class_id"]) for r in bagminhash.classes(df).collect())
+    want = [(None, 20), (None, 20), (21, 20), (20, 20), (None, None), (None, None), (9, 8), (8, 8), (9, 9), (None, None), (7, 7)]
+    assert got == Counter(want)
+
+
 # -- search --------------------------------------------------------------------------------------
 
 
