@@ -28,15 +28,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the least id."""
-    (node,) = fresh(docs, "nd_doc")
-    kept = (
-        bagminhash.classes(docs)
-        .filter(F.col("doc_id") == F.col("class_id"))
-        .select(F.col("doc_id").alias(node))
-        .distinct()
-    )
-    return docs.join(kept, F.col("doc_id") == F.col(node), "left_semi")
+    """One row of each near-duplicate class: the one with the least id, a null id last, then by a hash of the text."""
+    node, t1, t2, n = fresh(docs, "nd_doc", "nd_t1", "nd_t2", "nd_n")
+    firsts = bagminhash.firsts(docs).toDF(node, t1, t2, n)
+    own1, own2 = bagminhash.text_key(F.col("text").cast("string"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(node)) & (own1 == F.col(t1)) & (own2 == F.col(t2))
+    return docs.join(firsts, same, "left_semi")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -342,3 +342,23 @@ def classes(
     return sketches.select("id", "w1", "w2").join(named, _same_words(), "left").select(
         F.col("id").alias(id_col), F.when(F.col("w1").isNull(), F.col("id")).otherwise(F.col("name")).alias("class_id")
     )
+
+
+def firsts(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    slots: int = SLOTS,
+    bands: int = BANDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(id, t1, t2, n): id and text key of the first row of each class (least id, null last, then text key), and how many rows have both.
+
+    A text without words is a class for each id.
+    """
+    sketches, rooted = _rooted(docs, threshold, slots, bands, id_col, text_col)
+    rows = sketches.groupBy("id", "t1", "t2").agg(F.count("*").alias("n"), F.bool_or(F.col("w1").isNull()).alias("blank"))
+    best = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first")
+    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))
+    kept = rows.join(best, is_first, "left").filter(F.col("blank") | F.col("first").isNotNull())
+    return materialize(kept.select("id", "t1", "t2", "n"))

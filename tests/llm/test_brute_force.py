@@ -355,6 +355,20 @@ def _jaccard(a, b):
     return sum((a & b).values()) / max(1, sum((a | b).values()))
 
 
+def test_pipeline_keeps_unique_texts_without_id(spark):
+    docs = awkward_documents(spark)
+    unique = " ".join(f"u{i}" for i in range(80))
+    near = " ".join(f"v{i}" for i in range(80))
+    more = [(None, unique), (None, near + " x"), (None, near + " y"), (None, near + " y")]
+    added = spark.createDataFrame([(i, t, "en", "a", "clash") for i, t in more], docs.schema)
+    kept = corpus_pipeline.near_duplicates(spark, docs.unionByName(added), SF)
+    assert kept.columns == docs.columns
+    rows = {(r["doc_id"], r["text"]) for r in kept.collect()}
+    assert (None, unique) in rows and len({t for i, t in rows if i is None} & {near + " x", near + " y"}) == 1
+    assert {i for i, _ in rows if i is not None} == {1, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14, 15}
+    assert len(rows) == 14  # the text of id 1 stays under that id alone
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
