@@ -28,12 +28,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate class: the one with the least id, a null id last, then by a hash of the text."""
+    """One row of each near-duplicate class: the one with the least id, a null id last, then by a hash of the text.
+
+    Of rows that repeat both, one stays.
+    """
     node, t1, t2, n = fresh(docs, "nd_doc", "nd_t1", "nd_t2", "nd_n")
     firsts = bagminhash.firsts(docs).toDF(node, t1, t2, n)
     own1, own2 = bagminhash.text_key(F.col("text").cast("string"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(node)) & (own1 == F.col(t1)) & (own2 == F.col(t2))
-    return docs.join(firsts, same, "left_semi")
+    kept = docs.join(firsts, same)
+    once = kept.filter(F.col(n) == 1).select(*docs.columns)
+    # rows that repeat id and text are few as a rule: only they are dealt by their key; what else differs in them decides
+    rest = F.to_json(F.struct(*(c for c in docs.columns if c != "text")))
+    one = F.min_by(F.struct(*docs.columns), rest).alias(n)
+    again = kept.filter(F.col(n) > 1).groupBy(node, t1, t2).agg(one).select(f"{n}.*")
+    return once.unionByName(again)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

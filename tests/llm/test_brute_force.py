@@ -369,6 +369,17 @@ def test_pipeline_keeps_unique_texts_without_id(spark):
     assert len(rows) == 14  # the text of id 1 stays under that id alone
 
 
+def test_pipeline_keeps_one_row_of_each_class(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(3, a, "s"), (3, a, "s"), (3, a, "r"), (None, b, "s"), (None, b, "s")]  # repeated rows
+    rows += [(5, c, "s"), (5, d + " x", "s"), (4, d + " y", "s")]  # an id with a unique text and a near copy
+    rows += [(7, e, "s"), (7, d + " y", "s"), (7, f"{a} z", "s")]  # with an exact copy, and a near copy of a larger class
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    want = [(3, a, "r"), (None, b, "s"), (5, c, "s"), (4, d + " y", "s"), (7, e, "s")]
+    assert kept.columns == docs.columns and Counter(map(tuple, kept.collect())) == Counter(want)
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
