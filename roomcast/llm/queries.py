@@ -17,6 +17,7 @@ from roomcast.llm import (
     fm_dedup,
     hd_langid,
     host_trust,
+    packing,
     quality_llr,
     source_mix,
     warc_zst,
@@ -26,6 +27,7 @@ from roomcast.session import materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 #: Url rules (verdict, host, path) and the weights that sources get in turn.
 URL_RULES = [
@@ -116,6 +118,16 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(chat_windows.format_chats(chats, VOCABULARY, PATTERN))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document tokenized, cut and packed into sequences of at most 2048 tokens."""
+    pieces = packing.cut(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+    narrow = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    keyed = materialize(narrow.withColumn("piece_key", F.monotonically_increasing_id()))
+    return packing.pack(keyed).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -129,5 +141,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bagminhash,
         op9_cover_tree,
         op10_chat_windows,
+        op13_packing,
     )
 }
