@@ -20,6 +20,7 @@ from roomcast.llm import (
     packing,
     quality_llr,
     source_mix,
+    spelling,
     warc_zst,
 )
 from roomcast.llm.frames import table
@@ -118,6 +119,11 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(chat_windows.format_chats(chats, VOCABULARY, PATTERN))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word that is frequent enough."""
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), least_count=5), ratio=5)
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document tokenized, cut and packed into sequences of at most 2048 tokens."""
     pieces = packing.cut(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
@@ -141,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bagminhash,
         op9_cover_tree,
         op10_chat_windows,
+        op11_spelling,
         op13_packing,
     )
 }
