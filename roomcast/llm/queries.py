@@ -21,6 +21,7 @@ from roomcast.llm import (
     quality_llr,
     source_mix,
     spelling,
+    turn_repair,
     warc_zst,
 )
 from roomcast.llm.frames import table
@@ -124,6 +125,13 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), least_count=5), ratio=5)
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired rows of every conversation after the damage."""
+    chats = turn_repair.conversations(table(spark, sf_dir, "conversations"))
+    damaged = turn_repair.damage(chats)
+    return turn_repair.reports(chats, damaged, materialize(turn_repair.audits(damaged)))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document tokenized, cut and packed into sequences of at most 2048 tokens."""
     pieces = packing.cut(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
@@ -148,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_cover_tree,
         op10_chat_windows,
         op11_spelling,
+        op12_turn_repair,
         op13_packing,
     )
 }
