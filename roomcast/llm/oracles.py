@@ -2,7 +2,7 @@
 
 The others are checked in tests/llm against brute-force versions: op1 (hashed n-grams
 in the engine's own hash), op2 (merges by rank), op5 (random vectors), op10 (token
-budgets).
+budgets), op13 (a tokenizer, and which window is open).
 """
 
 from __future__ import annotations
@@ -117,6 +117,93 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BI
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20"""
 
+
+
+def _crc32(name: str, keys: str) -> str:
+    """CTEs up to ``name`` (s, crc): CRC-32 of the strings ``s`` of the relation ``keys``, which must be distinct.
+
+    The register is linear in the message: every byte adds what becomes of it after the bytes behind it.
+    """
+    step = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384::BIGINT) ELSE {0} >> 1 END"
+    bits = ", ".join(f"b{k + 1} AS (SELECT b, {step.format('v')} AS v FROM b{k})" for k in range(8))
+    return f"""
+b0 AS (SELECT range AS b, range::BIGINT AS v FROM range(256)), {bits},
+keyed AS (SELECT s, hex(s) AS h, (length(hex(s)) // 2)::BIGINT AS n FROM {keys}),
+behind(k, b, v) AS (SELECT 1::BIGINT, b, v FROM b8 UNION ALL
+  SELECT k + 1, behind.b, xor(b8.v, behind.v >> 8) FROM behind JOIN b8 ON b8.b = behind.v & 255 WHERE k < (SELECT max(n) FROM keyed)),
+begun(k, v) AS (SELECT 0::BIGINT, 4294967295::BIGINT UNION ALL
+  SELECT k + 1, xor(b8.v, begun.v >> 8) FROM begun JOIN b8 ON b8.b = begun.v & 255 WHERE k < (SELECT max(n) FROM keyed)),
+octets AS (SELECT s, n, unnest(range(0, n)) AS i, h FROM keyed),
+summed AS (SELECT s, n, bit_xor(v) AS v FROM octets JOIN behind ON k = n - i AND b = ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT GROUP BY s, n),
+{name} AS (SELECT s, xor(xor(summed.v, begun.v), 4294967295::BIGINT)::BIGINT AS crc FROM summed JOIN begun ON k = n)"""
+
+
+_OP11 = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents WHERE text IS NOT NULL),
+counted AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+{_crc32("hashed", "counted")},
+harmed AS (SELECT CASE WHEN crc % 199 = 0 THEN left(run, (crc % length(run))::BIGINT) || substr(run, (crc % length(run))::BIGINT + 2) ELSE run END AS word, n
+           FROM counted JOIN hashed USING (s)),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM harmed WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cuts AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word AS x, b.word AS y FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT c.word, w.word FROM cuts c JOIN words w ON w.word = c.rest
+          UNION SELECT w.word, c.word FROM cuts c JOIN words w ON w.word = c.rest),
+near AS (SELECT x AS word, count(*) AS n_near, arg_min(y, (-n, encode(y))) AS best FROM pairs JOIN words ON words.word = y GROUP BY x),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN f.n >= 5 * w.n THEN f.word END AS form, CASE WHEN f.n >= 5 * w.n THEN f.n END AS form_n
+          FROM words w LEFT JOIN near ON near.word = w.word LEFT JOIN words f ON f.word = near.best),
+chain(word, top, form) AS (SELECT word, word, form FROM forms UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.form)
+SELECT word, f.form, top AS root, n, n_near, form_n FROM forms f JOIN chain c USING (word) WHERE c.form IS NULL"""
+
+_OP12 = rf"""
+WITH RECURSIVE chats AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+places AS (SELECT DISTINCT s FROM chats),
+{_crc32("hashed", "places")},
+harmed AS (SELECT conv_id, turn, CASE WHEN crc % 20 = 4 THEN 'user' ELSE role END AS role,
+    CASE crc % 20 WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(0, CASE crc % 20 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM chats JOIN hashed USING (s)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+    regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS solid FROM harmed),
+marked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again FROM ordered),
+judged AS (SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS previous FROM marked),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pos > 1 AND previous || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM judged GROUP BY conv_id),
+inserts(a, b, c, w) AS (VALUES (0, 0, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 1, 0, ''), (1, 2, 2, 'I'), (1, 3, 4, 'II'),
+    (2, 2, 0, ''), (2, 3, 2, 'I'), (3, 3, 0, ''), (3, 2, 2, 'I')),
+edits(a, b, c, w, role) AS (VALUES (0, 0, 3, 'D', NULL), (1, 1, 3, 'D', NULL), (2, 2, 3, 'D', NULL), (3, 3, 3, 'D', NULL),
+    (0, 2, 2, 'R', NULL), (1, 2, 2, 'R', NULL), (3, 2, 2, 'R', NULL), (2, 3, 2, 'R', NULL),
+    (0, 1, 0, 'K', 's'), (0, 2, 0, 'K', 'u'), (1, 2, 0, 'K', 'u'), (3, 2, 0, 'K', 'u'), (2, 3, 0, 'K', 'a')),
+dp(conv_id, pos, state, cost, audit) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0, '' FROM counts
+  UNION ALL
+  SELECT d.conv_id, j.pos, e.b, min(d.cost + i.c + e.c + CASE WHEN e.w <> 'D' AND j.fault = 'truncated' THEN 1 ELSE 0 END),
+    arg_min(d.audit || i.w || e.w, (d.cost + i.c + e.c + CASE WHEN e.w <> 'D' AND j.fault = 'truncated' THEN 1 ELSE 0 END, d.audit || i.w || e.w))
+  FROM dp d JOIN judged j ON j.conv_id IS NOT DISTINCT FROM d.conv_id AND j.pos = d.pos + 1
+  JOIN inserts i ON i.a = d.state
+  JOIN edits e ON e.a = i.b AND (e.w = 'D' OR coalesce(j.fault, '') NOT IN ('blank', 'duplicate')) AND (e.role IS NULL OR e.role = left(j.role, 1))
+  GROUP BY 1, 2, 3),
+chosen AS (SELECT d.conv_id, min(d.cost + i.c) AS cost, arg_min(d.audit || i.w, (d.cost + i.c, d.audit || i.w)) AS audit
+  FROM dp d JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.n = d.pos JOIN inserts i ON i.a = d.state AND i.b IN (0, 3) GROUP BY 1),
+letters AS (SELECT conv_id, k, audit[k] AS e FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM chosen)),
+walked AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS pos FROM letters),
+kept AS (SELECT w.conv_id, w.k, w.e, j.role, j.text, row_number() OVER (PARTITION BY w.conv_id ORDER BY w.k) AS place
+  FROM walked w LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.pos = w.pos AND w.e <> 'I' WHERE w.e <> 'D'),
+headed AS (SELECT *, max(CASE WHEN place = 1 AND e = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS head FROM kept),
+lines AS (SELECT conv_id, place, CASE WHEN e = 'K' THEN role WHEN (place - head) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line FROM headed),
+written AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY place)) AS h FROM lines GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN chosen d ON d.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN written w ON w.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
 ORACLES: dict[str, str] = {
     "op3_host_trust": _op3(),
     "op4_warc_zst": _OP4,
@@ -124,4 +211,6 @@ ORACLES: dict[str, str] = {
     "op7_source_mix": _op7(),
     "op8_bagminhash": _OP8,
     "op9_cover_tree": _OP9,
+    "op11_spelling": _OP11,
+    "op12_turn_repair": _OP12,
 }
