@@ -27,6 +27,7 @@ other columns are never looked at.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,13 +39,16 @@ from tokenizers import Tokenizer
 
 from roomcast.llm.frames import bounded_rows, rows_out
 
-#: Entries in each of the two generations of a task's memo, and the longest stretch kept (characters).
-MEMO_ENTRIES = 150_000
+#: Entries after which a task's memo starts anew, and the longest stretch it keeps (characters).
+MEMO_ENTRIES = 400_000
 MEMO_CHARS = 48
 #: Text that is tokenized at once (bytes).
-SLICE = 2 << 20
+SLICE = 4 << 20
 
-_STRETCHES = re.compile(r"[^ \n]+").findall
+#: Letters that are one code point and one pre-token with their neighbours, and marks that end a stretch behind them.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARKS = ".,"
+_PLAIN = re.compile(f"[{_LETTERS}]+[{_MARKS}]?").fullmatch
 
 
 @lru_cache(maxsize=2)
@@ -58,32 +62,47 @@ class Stretches:
     """Token ids of texts, stretch by stretch; ids travel as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = _tokenizer(path)
-        self.memo: dict[str, bytes] = {}
-        self.aged: dict[str, bytes] = {}
-
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of the given stretches; what is not known yet goes through the library in one batch."""
-        known, aged, out, new = self.memo, self.aged, {}, []
+        own = self.tokenizer = _tokenizer(path)
+        # what the library's normalizer and pre-tokenizer make of a letter that stands among plain letters
+        letters = [c for c in map(chr, range(256)) if _PLAIN(c)]
+        self.spelled = {ord(c): own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(c))[0][0] for c in letters}
+        self.marks = {m: self._packed(own.encode(m, add_special_tokens=False).ids) for m in _MARKS}
+        self.memo: dict[str, bytes] = {"": b""}
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, parts: set[str]) -> None:
+        """Notes the ids of new stretches.  Words of plain letters go to the library's merges, others through all of it."""
+        memo, spelled, merges, rest = self.memo, self.spelled, self.tokenizer.model.tokenize, []
         for p in parts:
-            ids = known.get(p)
-            if ids is None:
-                ids = aged.get(p)
-            if ids is None:
-                new.append(p)
+            if _PLAIN(p):
+                mark = self.marks.get(p[-1])
+                word = p if mark is None else p[:-1]
+                ids = memo.get(word)
+                if ids is None:
+                    ids = memo[word] = self._packed([t.id for t in merges(word.translate(spelled))])
+                if mark is not None:
+                    memo[p] = ids + mark
             else:
-                out[p] = ids
-        for p, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            out[p] = np.array(found.ids, "<u4").tobytes()
-        if len(known) + len(new) > MEMO_ENTRIES:
-            self.memo, self.aged = {}, known
-        self.memo.update((p, ids) for p, ids in out.items() if len(p) <= MEMO_CHARS)
-        return out
+                rest.append(p)
+        for p, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            memo[p] = self._packed(found.ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [_STRETCHES(t) if t else [] for t in texts]
-        ids = self._learn(set().union(*cut)).__getitem__
-        return [b"".join(map(ids, parts)) for parts in cut]
+        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        memo = self.memo
+        new = set().union(*cut).difference(memo)
+        self._learn(new)
+        out = [b"".join([memo[p] for p in parts]) for parts in cut]
+        if len(memo) > MEMO_ENTRIES:
+            self.memo = {"": b""}
+        else:
+            for p in new:
+                if len(p) > MEMO_CHARS:
+                    del memo[p]
+        return out
 
 
 def cut(
