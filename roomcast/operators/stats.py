@@ -13,6 +13,8 @@ work on a histogram first:
   distinct values however far outliers lie.  Range totals locate the ranges that
   hold the wanted order positions; only those are sorted.  Results equal
   ``percentile`` / ``quantile_cont`` (linear interpolation).
+* ``leave_one_out_quantiles`` gives the quantiles of all rows but one fold's, for every fold,
+  from one such pass: a value carries its count without each fold, so no row is copied.
 """
 
 from __future__ import annotations
@@ -122,3 +124,70 @@ def exact_quantiles(
         aggs.append((lo + (hi - lo) * F.max(F.when(this, F.col("t.frac")))).alias(f"{prefix}_{i}"))
     out = rows.groupBy("_g", "n").agg(*aggs)
     return out.select(*[F.col("_g")[c].alias(c) for c in group_cols], "n", *[f"{prefix}_{i}" for i in range(len(probs))])
+
+
+def leave_one_out_quantiles(
+    df: DataFrame,
+    group_cols: list[str],
+    value_col: str,
+    fold_col: str,
+    n_folds: int,
+    probs: list[float],
+    prefix: str = "q",
+) -> DataFrame:
+    """Exact quantiles per group of the rows outside each fold: ``group..., fold, n, <prefix>_<i>``.
+
+    Folds are 0 .. ``n_folds`` - 1.  Values are counted once, with one count per left-out fold; the
+    counts are summed along one order for all folds.  Null and NaN values are ignored; a group
+    without a value outside a fold is absent for that fold.
+    """
+    v = F.nanvl(F.col(value_col).cast("double"), F.lit(None).cast("double"))
+    folds = range(n_folds)
+    outside = [F.sum((F.col("_f") != j).cast("long")).alias(f"_c{j}") for j in folds]
+    vc = (
+        df.select(F.struct(*group_cols).alias("_g"), v.alias("_v"), F.col(fold_col).alias("_f"))
+        .where(F.col("_v").isNotNull())
+        .groupBy("_g", "_v")
+        .agg(*outside)
+    )
+    cut = materialize(vc.repartitionByRange("_g", "_v").withColumn("_p", F.spark_partition_id()))
+
+    totals = cut.groupBy("_g", "_p").agg(*(F.sum(f"_c{j}").alias(f"_t{j}") for j in folds))
+    run = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("_g")
+    totals = totals.select(
+        "_g", "_p",
+        *((F.sum(f"_t{j}").over(run) - F.col(f"_t{j}")).alias(f"_from{j}") for j in folds),
+        *(F.sum(f"_t{j}").over(run).alias(f"_to{j}") for j in folds),
+        *(F.sum(f"_t{j}").over(whole).alias(f"_n{j}") for j in folds),
+    )
+    wanted = []
+    for j in folds:
+        n = F.col(f"_n{j}")
+        for i, p in enumerate(probs):
+            h = (n - 1) * F.lit(float(p))
+            for side, pos in ((0, F.floor(h)), (1, F.ceil(h))):
+                here = (n > 0) & (pos >= F.col(f"_from{j}")) & (pos < F.col(f"_to{j}"))
+                target = F.struct(
+                    F.lit(j).alias("fold"), n.alias("n"), F.lit(i).alias("i"), F.lit(side).alias("side"),
+                    pos.cast("long").alias("pos"), (h - F.floor(h)).alias("frac"),
+                )
+                wanted.append(F.when(here, target))
+    targets = totals.select("_g", "_p", *(f"_from{j}" for j in folds), F.array_compact(F.array(*wanted)).alias("ts")).where(F.size("ts") > 0)
+    inside = Window.partitionBy("_g", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = F.array(*(F.col(f"_from{j}") + F.sum(f"_c{j}").over(inside) for j in folds))
+    rows = cut.join(targets, ["_g", "_p"]).withColumn("_ends", ends).withColumn("_cs", F.array(*(F.col(f"_c{j}") for j in folds)))
+
+    def hit(t):
+        end = F.element_at("_ends", t["fold"] + 1)
+        return (t["pos"] < end) & (t["pos"] >= end - F.element_at("_cs", t["fold"] + 1))
+
+    found = rows.select("_g", "_v", F.explode(F.filter("ts", hit)).alias("t"))
+    aggs = []
+    for i in range(len(probs)):
+        this = F.col("t.i") == i
+        lo = F.max(F.when(this & (F.col("t.side") == 0), F.col("_v")))
+        hi = F.max(F.when(this & (F.col("t.side") == 1), F.col("_v")))
+        aggs.append((lo + (hi - lo) * F.max(F.when(this, F.col("t.frac")))).alias(f"{prefix}_{i}"))
+    out = found.groupBy("_g", F.col("t.fold").alias("fold"), F.col("t.n").alias("n")).agg(*aggs)
+    return out.select(*[F.col("_g")[c].alias(c) for c in group_cols], "fold", "n", *[f"{prefix}_{i}" for i in range(len(probs))])

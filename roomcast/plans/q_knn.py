@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomcast.functions.exprs import r6
@@ -187,7 +189,7 @@ nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, ref_id)
 SELECT query_id, grp, ref_id, label, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM nn
 """)
 def knn_by_partition(spark, sf):
-    """Hierarchical kNN - neighbours restricted to the query's group (building/floor).
+    """J1 within an equi key: neighbours restricted to the query's own group.
 
     The group is the parity of the class (a two-'building' hierarchy); the
     equi key keeps the join partitioned instead of comparing across groups.
@@ -199,6 +201,42 @@ def knn_by_partition(spark, sf):
     return nn.select("query_id", "grp", "ref_id", "label", r6(F.col("dist")).alias("dist"), "rank")
 
 
+@register("knn_hierarchical", sql=f"""
+WITH {EMB_SPLIT}, {nn_sql(5)},
+nz AS (SELECT *, max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS has_zero FROM nn),
+gw AS (SELECT query_id, true_label, label % 2 AS grp,
+              sum(CASE WHEN has_zero = 1 THEN (CASE WHEN dist = 0 THEN 1.0 ELSE 0.0 END) ELSE 1.0 / dist END) AS w FROM nz GROUP BY ALL),
+qg AS (SELECT query_id, true_label, arg_min(grp, (-floor(w / t * 1e6 + 0.5), grp)) AS grp
+       FROM (SELECT *, sum(w) OVER (PARTITION BY query_id) AS t FROM gw) GROUP BY 1, 2),
+d2 AS (SELECT q.query_id, q.true_label, t.ref_id, t.label, qg.grp, {cos_sql('q.v', 't.v')} AS dist
+       FROM q JOIN qg USING (query_id) JOIN t ON t.label % 2 = qg.grp),
+n2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, ref_id) AS rank FROM d2 QUALIFY rank <= 7),
+z2 AS (SELECT *, max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS has_zero FROM n2),
+w2 AS (SELECT query_id, true_label, grp, label,
+              sum(CASE WHEN has_zero = 1 THEN (CASE WHEN dist = 0 THEN 1.0 ELSE 0.0 END) ELSE 1.0 / dist END) AS w FROM z2 GROUP BY ALL),
+p2 AS (SELECT *, floor(w / sum(w) OVER (PARTITION BY query_id) * 1e6 + 0.5) / 1e6 AS p FROM w2)
+SELECT query_id, CAST(true_label % 2 AS INTEGER) AS true_grp, CAST(grp AS INTEGER) AS pred_grp, true_label, arg_min(label, (-p, label)) AS pred_label, max(p) AS confidence
+FROM p2 GROUP BY 1, 2, 3, 4
+""")
+def knn_hierarchical(spark, sf):
+    """First the building (here: parity of the class) by k=5, then the class by k=7 among that building's references only.
+
+    The building is the predicted one; a query sent to the wrong building is wrong.
+    """
+    queries, refs = emb_split(spark, sf)
+    refs = refs.withColumn("grp", (F.col("label") % 2).cast("int"))
+    first = knn.knn_join(queries, refs, 5, "cosine", payload=("grp",))
+    votes = knn.distance_vote(first, ["query_id"], "grp").withColumn("probability", r6(F.col("probability")))
+    chosen = knn.vote_topk(votes, ["query_id"], 1, "grp").select("query_id", "grp")
+    second = knn.knn_join(queries.join(chosen, "query_id"), refs, 7, "cosine", payload=("label",), key="grp")
+    votes = knn.distance_vote(second, ["query_id", "grp"], "label").withColumn("probability", r6(F.col("probability")))
+    best = knn.vote_topk(votes, ["query_id", "grp"], 1)
+    return best.join(queries.select("query_id", "true_label"), "query_id").select(
+        "query_id", (F.col("true_label") % 2).cast("int").alias("true_grp"), F.col("grp").alias("pred_grp"), "true_label",
+        F.col("label").alias("pred_label"), F.col("probability").alias("confidence"),
+    )
+
+
 # --- the fingerprint pipeline end to end (M5: L1 training + holdout scoring) -----------
 
 from roomcast.functions.exprs import IMU_COLUMNS  # noqa: E402
@@ -225,22 +263,37 @@ SELECT query_id, true_label, label AS pred_label, round(probability, 6) AS confi
 """)
 
 
+@dataclass
+class FingerprintModel:
+    """What a fit leaves: the AP schema, scaler table, scaled reference rows, and the scaled holdout rows."""
+
+    apdim: DataFrame
+    params: DataFrame
+    refs: DataFrame
+    test: DataFrame
+
+
+def fit_fingerprints(spark, sf) -> FingerprintModel:
+    """M5: 80 % of the scans (stratified by room) give medians, scaler and references; every table is written once."""
+    split = materialize(stratified_holdout(C.scan_labels(spark, sf), "scan_id", "room_id", 0.2))
+    train_ids = split.where(~F.col("is_test")).select("scan_id")
+    readings = fp.imu_readings(C.lineitem(spark, sf))
+    med = feat.imu_medians(readings.join(train_ids, "scan_id", "left_semi"))
+    apdim = materialize(C.apdim(spark, sf))
+    scans = split.select("scan_id")
+    imu_vals = feat.imu_impute(scans, readings, med, IMU_COLUMNS)
+    features = materialize(feat.feature_long(C.clean_cells(spark, sf).join(scans, "scan_id", "left_semi"), apdim, imu_vals, IMU_COLUMNS))
+    params = materialize(feat.robust_fit(features.join(train_ids, "scan_id", "left_semi"), train_ids.count()))
+    vecs = materialize(feat.scaled_vectors(scans, features, params).join(split, "scan_id"))
+    return FingerprintModel(apdim, params, vecs.where(~F.col("is_test")), vecs.where("is_test"))
+
+
 def fingerprint_predictions(spark, sf, k=7):
     """Train on 80 % of the scans (stratified by room), score the rest: clean -> IMU medians
     (train) -> robust scaling (train, exact quantiles) -> cosine kNN -> 1/d vote."""
-    labels = C.scan_labels(spark, sf)
-    split = stratified_holdout(labels, "scan_id", "room_id", 0.2)
-    train_ids = split.where(~F.col("is_test")).select("scan_id")
-    li = C.lineitem(spark, sf)
-    readings = fp.imu_readings(li)
-    med = feat.imu_medians(readings.join(train_ids, "scan_id", "left_semi"))
-    imu_vals = feat.imu_impute(C.scans(spark, sf), readings, med, IMU_COLUMNS)
-    features = feat.feature_long(C.clean_cells(spark, sf), C.apdim(spark, sf), imu_vals, IMU_COLUMNS)
-    params = feat.robust_fit(features.join(train_ids, "scan_id", "left_semi"), train_ids.count())
-    vecs = feat.scaled_vectors(C.scans(spark, sf), features, params)
-    sv = materialize(vecs.join(split, "scan_id"))  # read by both sides of the join and by the vote
-    queries = sv.where("is_test").select(F.col("scan_id").alias("query_id"), F.col("room_id").alias("true_label"), "vec")
-    refs = sv.where(~F.col("is_test")).select(F.col("scan_id").alias("ref_id"), F.col("room_id").alias("label"), "vec")
+    model = fit_fingerprints(spark, sf)
+    queries = model.test.select(F.col("scan_id").alias("query_id"), F.col("room_id").alias("true_label"), "vec")
+    refs = model.refs.select(F.col("scan_id").alias("ref_id"), F.col("room_id").alias("label"), "vec")
     nn = knn.knn_join(queries, refs, k, "cosine", payload=("label",)).join(queries.select("query_id", "true_label"), "query_id")
     votes = knn.distance_vote(nn, ["query_id", "true_label"], "label")
     best = knn.vote_topk(votes, ["query_id", "true_label"], 1)

@@ -12,7 +12,11 @@ from roomcast.operators import split as S
 from roomcast.plans import common as C
 from roomcast.plans.q_knn import EMB_SPLIT, cos_sql, emb_split
 from roomcast.plans.registry import register
+from roomcast.operators.stats import leave_one_out_quantiles
 from roomcast.plans.sqlmetrics import acc_sql, macro_sql, per_class_sql
+from roomcast.plans.sqlparts import IMU
+from roomcast.session import materialize
+from roomcast.sources import fingerprints as fp
 
 K_GRID = [3, 5, 7, 9, 11]
 MODEL_KS = [3, 5, 7]  # the compared kNN "models", in registry order
@@ -57,10 +61,12 @@ def grid_predictions(nn, ks, weightings, extra_group):
 
 # --- CV neighbours (SQL) ------------------------------------------------------------
 
-CV_SQL = f"""
+EMB_FOLDS_SQL = """
 e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 kf AS (SELECT least(5, min(c)) AS k FROM (SELECT label, count(*) AS c FROM e GROUP BY 1)),
-f AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1) % (SELECT k FROM kf) AS fold FROM e),
+f AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1) % (SELECT k FROM kf) AS fold FROM e)"""
+
+CV_SQL = f"""{EMB_FOLDS_SQL},
 d AS (SELECT q.fold, q.vec_id AS query_id, q.label AS true_label, t.vec_id AS ref_id, t.label, {cos_sql('q.v', 't.v')} AS dist
       FROM f q JOIN f t ON q.fold <> t.fold),
 nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, ref_id) AS rank FROM d QUALIFY rank <= 11)
@@ -103,6 +109,93 @@ def knn_cv(spark, sf):
     return rep.select("fold", *[r6(F.col(c)).alias(c) for c in ("accuracy", "precision_macro", "recall_macro", "f1_macro")])
 
 
+# --- CV with everything fitted per fold (M7) ---------------------------------------------
+
+SCALED_CV_SQL = f"""
+{EMB_FOLDS_SQL},
+el AS (SELECT vec_id, label, fold, unnest(range(1, len(v) + 1)) AS pos, unnest(v) AS value FROM f),
+folds AS (SELECT DISTINCT fold FROM f),
+fit AS (SELECT k.fold, e.pos, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q75
+        FROM folds k JOIN el e ON e.fold <> k.fold GROUP BY 1, 2),
+par AS (SELECT fold, pos, median, coalesce(nullif(q75 - q25, 0.0), 1.0) AS scale FROM fit)
+"""
+
+
+def emb_folds(spark, sf):
+    """Embeddings with stratified folds (W3), written once, and the number of folds."""
+    e = C.embeddings(spark, sf)
+    kf = S.fold_count(e, "label")
+    return materialize(S.stratified_folds(e, "vec_id", "label", kf).select("vec_id", "label", "fold", "vec")), kf
+
+
+def fold_params(folds, kf):
+    """Median and robust scale of every component over the rows outside each fold: ``(pos, fold, median, scale)``."""
+    cells = folds.select("fold", F.posexplode("vec").alias("pos", "value"))
+    q = leave_one_out_quantiles(cells, ["pos"], "value", "fold", kf, [0.25, 0.5, 0.75])
+    iqr = F.nullif(F.col("q_2") - F.col("q_0"), F.lit(0.0))
+    return q.select((F.col("pos") + 1).alias("pos"), "fold", F.col("q_1").alias("median"), F.coalesce(iqr, F.lit(1.0)).alias("scale"))
+
+
+@register("fold_scaler", sql=f"""
+WITH {SCALED_CV_SQL}
+SELECT CAST(pos AS INTEGER) AS pos, CAST(fold AS INTEGER) AS fold, round(median, 6) AS median, round(scale, 6) AS scale FROM par
+""")
+def fold_scaler(spark, sf):
+    """M7: the robust scaler of each cross-validation fold, fitted on the other folds from one pass over the values."""
+    p = fold_params(*emb_folds(spark, sf))
+    return p.select("pos", "fold", r6(F.col("median")).alias("median"), r6(F.col("scale")).alias("scale"))
+
+
+@register("fold_imu_medians", sql=f"""
+WITH {IMU},
+scans AS (SELECT DISTINCT scan_id FROM imu),
+sf AS (SELECT scan_id, (row_number() OVER (PARTITION BY room_id ORDER BY md5(CAST(scan_id AS VARCHAR)), scan_id) - 1) % 5 AS fold
+       FROM (SELECT o_orderkey AS scan_id, o_orderpriority AS room_id FROM orders) JOIN scans USING (scan_id)),
+folds AS (SELECT DISTINCT fold FROM sf)
+SELECT i.imu_name, CAST(k.fold AS INTEGER) AS fold, count(i.value) AS n, round(median(i.value), 6) AS median
+FROM folds k JOIN sf s ON s.fold <> k.fold JOIN imu i ON i.scan_id = s.scan_id
+WHERE i.imu_name IS NOT NULL AND i.value IS NOT NULL GROUP BY 1, 2
+""")
+def fold_imu_medians(spark, sf):
+    """M7 + P6: the IMU medians that each of five stratified folds of scans imputes with, from the other folds."""
+    folds = S.stratified_folds(C.scan_labels(spark, sf), "scan_id", "room_id", 5).select("scan_id", "fold")
+    readings = fp.imu_readings(C.lineitem(spark, sf)).where(F.col("imu_name").isNotNull()).join(folds, "scan_id")
+    q = leave_one_out_quantiles(readings, ["imu_name"], "value", "fold", 5, [0.5])
+    return q.select("imu_name", "fold", "n", r6(F.col("q_0")).alias("median"))
+
+
+def scaled_cv_neighbours(spark, sf, k):
+    """Neighbours of every vector among the other folds, both scaled with what the other folds fit."""
+    folds, kf = emb_folds(spark, sf)
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "median", "scale")))
+    params = fold_params(folds, kf).groupBy("fold").agg(ordered.alias("p"))
+    params = params.select("fold", F.col("p.median").alias("centre"), F.col("p.scale").alias("scale"))
+    nn = knn.knn_join_by_fold(folds, params, k, "vec_id", payload=("label",))
+    return nn.join(folds.select(F.col("vec_id").alias("query_id"), F.col("label").alias("true_label")), "query_id")
+
+
+@register("knn_cv_scaled", sql=f"""
+WITH {SCALED_CV_SQL},
+z AS (SELECT e.vec_id, e.label, e.fold AS own, p.fold, list((e.value - p.median) / p.scale ORDER BY e.pos) AS v
+      FROM el e JOIN par p USING (pos) GROUP BY 1, 2, 3, 4),
+d AS (SELECT q.fold, q.vec_id AS query_id, q.label AS true_label, t.vec_id AS ref_id, t.label, {cos_sql('q.v', 't.v')} AS dist
+      FROM z q JOIN z t ON q.own = q.fold AND t.fold = q.fold AND t.own <> q.fold),
+nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, ref_id) AS rank FROM d QUALIFY rank <= 7),
+{grid_sql([7], ['distance'], ['fold'])},
+{acc_sql('gpred', 'true_label', 'pred_label', ['fold'])},
+{per_class_sql('gpred', 'true_label', 'pred_label', ['fold'])},
+{macro_sql('pc', ['fold'])}
+SELECT CAST(a.fold AS INTEGER) AS fold, round(a.accuracy, 6) AS accuracy, round(m.precision_macro, 6) AS precision_macro,
+       round(m.recall_macro, 6) AS recall_macro, round(m.f1_macro, 6) AS f1_macro
+FROM acc a JOIN macro m USING (fold)
+""")
+def knn_cv_scaled(spark, sf):
+    """M7: stratified CV of the whole kNN pipeline: scaler fitted per fold on the other folds, then k=7, 1/d votes."""
+    pred = grid_predictions(scaled_cv_neighbours(spark, sf, 7), [7], ["distance"], ["fold"])
+    rep = M.classification_report(pred, "true_label", "pred_label", ["fold"])
+    return rep.select("fold", *[r6(F.col(c)).alias(c) for c in ("accuracy", "precision_macro", "recall_macro", "f1_macro")])
+
+
 @register("fold_mean_std", sql=f"""
 WITH {CV_SQL}, {grid_sql([7], ['distance'], ['fold'])},
 {acc_sql('gpred', 'true_label', 'pred_label', ['fold'])},

@@ -42,7 +42,7 @@ def test_knn_strategies_match_brute_force(spark):
     rdf = spark.createDataFrame(r, "ref_id long, vec array<double>")
     for metric in ("cosine", "euclidean"):
         want = _brute_knn(q, r, 5, metric)
-        for kw in ({}, {"broadcast_bytes": 0, "ref_block_rows": 17, "query_block_rows": 7}):
+        for kw in ({}, {"ref_block_rows": 17, "query_block_rows": 7}):
             got = sorted(tuple(x) for x in knn_join(qdf, rdf, 5, metric, **kw).select("query_id", "ref_id", "rank").collect())
             assert got == want, (metric, kw)
 
