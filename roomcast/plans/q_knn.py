@@ -246,7 +246,7 @@ from roomcast.plans.sqlparts import CELLS, FEATURES, IMU, LABELS  # noqa: E402
 from roomcast.sources import fingerprints as fp  # noqa: E402
 
 _TRAIN = "scan_id IN (SELECT scan_id FROM split WHERE NOT is_test)"
-_FP_SQL = (
+FP_VECTORS_SQL = (
     "WITH " + CELLS + ", " + LABELS + """,
 sp AS (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY md5(CAST(scan_id AS VARCHAR)), scan_id) AS rn,
               count(*) OVER (PARTITION BY room_id) AS n
@@ -257,8 +257,10 @@ split AS (SELECT scan_id, room_id, rn <= round(n * 0.2) AS is_test FROM sp),
 zz AS (SELECT f.scan_id, f.pos, (f.value - coalesce(s.median, f.fill)) / coalesce(s.scale, 1.0) AS z FROM feat f LEFT JOIN scaler2 s USING (feature, pos, fill)),
 vec AS (SELECT scan_id, list(z ORDER BY pos) AS v FROM zz GROUP BY 1),
 q AS (SELECT v.scan_id AS query_id, s.room_id AS true_label, v.v FROM vec v JOIN split s USING (scan_id) WHERE s.is_test),
-t AS (SELECT v.scan_id AS ref_id, s.room_id AS label, v.v FROM vec v JOIN split s USING (scan_id) WHERE NOT s.is_test),
-""" + nn_sql(7) + ", " + VOTE_SQL + """
+t AS (SELECT v.scan_id AS ref_id, s.room_id AS label, v.v FROM vec v JOIN split s USING (scan_id) WHERE NOT s.is_test)"""
+)
+_FP_SQL = (
+    FP_VECTORS_SQL + ", " + nn_sql(7) + ", " + VOTE_SQL + """
 SELECT query_id, true_label, label AS pred_label, round(probability, 6) AS confidence FROM ranked WHERE prank = 1
 """)
 

@@ -83,5 +83,6 @@ def _load_all() -> None:
         q_metrics,
         q_models,
         q_routes,
+        q_serving,
         q_sessions,
     )
