@@ -10,16 +10,18 @@ host, linked host).  Hosts with pages that a rule allows are trusted seeds, host
 pages that a rule blocks are distrusted seeds, weighed by the number of such pages.
 Trust is personalised PageRank from the trusted seeds along links; distrust is the
 same walk from the distrusted seeds against the links (who links to a bad host is
-suspect).  A walk that meets a host without links ends there.  A host is blocked if
-its distrust exceeds ``ratio`` times its trust; a host that neither walk reaches is
-allowed.
+suspect).  A walk that meets a host without links ends there.  A walk goes on until it
+has reached every host it can reach, however far, and until no host passes on more than
+``tolerance`` times the largest seed.  A host is blocked if its distrust exceeds ``ratio`` times
+its trust; a host that neither walk reaches is allowed.
 
-Scale: pages are read twice (links; verdicts) and never shuffled.  Links shrink to
+Scale: pages are read twice (links; verdicts).  Links shrink to
 (host, host) counts by a partial aggregate, so a host with a third of all pages sends
-one row per task.  Both walks share one table and one join per round; every
-``cut_every`` rounds the scores are written to the shared checkpoint folder.  Only the
-table of judged hosts meets the pages again: AQE broadcasts it if it is small, else
-joins by host with the skewed host split.
+one row per task.  Both walks share one table and one join per round; a round moves only
+what the last one brought anew, and is written to the shared checkpoint folder.  Only the
+table of judged hosts meets the pages again.  It is written first, so the planner knows its
+size: below Spark's own threshold it is broadcast and pages are not shuffled, above it
+they are joined by host with the skewed host split by AQE.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, no rule fits
 it and it is allowed; null html has no links; repeated pages count as often as they
@@ -31,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roomcast.session import materialize
+from roomcast.session import materialize, scalar
 
 #: Relative margin by which distrust must exceed its threshold.
 MARGIN = 1e-9
@@ -75,9 +77,7 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
 
 
-def spread(
-    seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 4
-) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:
     """(host, trust, distrust) of every host that a walk reaches.
 
     ``seeds``: (host, allowed, blocked), page counts; ``links``: (src, dst, n).
@@ -92,14 +92,20 @@ def spread(
     weights = seeds.select(
         "host", F.explode(F.create_map(F.lit("trust"), "allowed", F.lit("distrust"), "blocked")).alias("walk", "w")
     ).filter("w > 0")
-    # both walks start from pages, so a page allowed and a page blocked weigh the same
-    start = materialize(weights.select("walk", "host", ((1 - damping) * F.col("w")).alias("score")))
-    now = start
-    for k in range(rounds):
-        moved = now.join(steps, ["walk", "host"]).select("walk", F.col("to").alias("host"), (F.col("score") * F.col("p")).alias("score"))
-        now = moved.unionByName(start).groupBy("walk", "host").agg(F.sum("score").alias("score"))
-        if (k + 1) % cut_every == 0 and k + 1 < rounds:
-            now = materialize(now)
+    # both walks start from pages, so a page allowed and a page blocked weigh the same; "moves" is what a host passes on next
+    start = F.col("w") * (1 - damping)
+    now = materialize(weights.select("walk", "host", start.alias("score"), start.alias("moves")))
+    least = tolerance * (scalar(now.agg(F.max("score"))) or 0.0)
+    while not now.filter("moves is not null").isEmpty():
+        moved = now.filter("moves is not null").join(steps, ["walk", "host"])
+        moved = moved.select("walk", F.col("to").alias("host"), (F.col("moves") * F.col("p")).alias("brought"))
+        known = now.select("walk", "host", "score", F.lit(True).alias("known"))
+        both = known.unionByName(moved, allowMissingColumns=True).groupBy("walk", "host")
+        sums = both.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("score", "brought")), F.max("known").alias("known"))
+        on = (F.col("brought") >= least) | (F.col("known").isNull() & (F.col("brought") > 0))
+        now = materialize(
+            sums.select("walk", "host", (F.col("score") + F.col("brought")).alias("score"), F.when(on, F.col("brought")).alias("moves"))
+        )
     score = {w: F.coalesce(F.sum(F.when(F.col("walk") == w, F.col("score"))), F.lit(0.0)).alias(w) for w in ("trust", "distrust")}
     return now.groupBy("host").agg(*score.values())
 
@@ -109,7 +115,7 @@ def judge(
     rules: list[tuple[str, str, str]],
     ratio: float = 1.0,
     damping: float = 0.85,
-    rounds: int = 12,
+    tolerance: float = 1e-9,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
@@ -124,8 +130,8 @@ def judge(
         .groupBy("host")
         .agg(F.count_if(F.col("says") == "allow").alias("allowed"), F.count_if(F.col("says") == "block").alias("blocked"))
     )
-    scores = spread(seeds, host_links(pages, url_col, html_col), damping, rounds)
-    judged = scores.select(F.col("host").alias("of"), "trust", "distrust")
+    scores = spread(seeds, host_links(pages, url_col, html_col), damping, tolerance)
+    judged = materialize(scores.select(F.col("host").alias("of"), "trust", "distrust"))
     # the margin keeps the order in which sums are added from deciding between equals
     bad = F.coalesce(F.col("distrust") > (1 + MARGIN) * ratio * F.col("trust"), F.lit(False))
     return ruled.join(judged, F.col("host") == F.col("of"), "left").select(

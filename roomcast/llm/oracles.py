@@ -19,15 +19,9 @@ def _op3() -> str:
     rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in rules)
     says = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in rules)
-    rounds = ",\n".join(
-        f"""s{k + 1} AS (SELECT walk, host, sum(score) AS score FROM (
-          SELECT s.walk, t.dst AS host, s.score * t.p AS score FROM s{k} s JOIN steps t ON t.walk = s.walk AND t.src = s.host
-          UNION ALL SELECT walk, host, score FROM s0) GROUP BY ALL)"""
-        for k in range(12)
-    )
     url = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     return rf"""
-WITH parts AS (
+WITH RECURSIVE parts AS (
   SELECT page_id, html, translate(coalesce(regexp_extract(url, '{url}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '{url}', 2), '') AS path FROM pages),
 ruled AS (SELECT page_id, host, path, CASE {rule} END AS rule, CASE {says} END AS says FROM parts),
@@ -42,9 +36,11 @@ walks AS (SELECT 'trust' AS walk, src, dst, n FROM links UNION ALL SELECT 'distr
 steps AS (SELECT walk, src, dst, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY walk, src) AS p FROM walks),
 s0 AS (SELECT 'trust' AS walk, host, 0.15::DOUBLE * allowed AS score FROM seeds WHERE allowed > 0
        UNION ALL SELECT 'distrust', host, 0.15::DOUBLE * blocked FROM seeds WHERE blocked > 0),
-{rounds},
+moved(walk, host, score) AS (SELECT * FROM s0 UNION ALL
+  SELECT m.walk, t.dst, sum(m.score * t.p) FROM moved m JOIN steps t ON t.walk = m.walk AND t.src = m.host GROUP BY 1, 2
+  HAVING sum(m.score * t.p) >= 1e-12 * (SELECT max(score) FROM s0)),
 judged AS (SELECT host, coalesce(sum(score) FILTER (walk = 'trust'), 0) AS trust,
-                  coalesce(sum(score) FILTER (walk = 'distrust'), 0) AS distrust FROM s12 GROUP BY host)
+                  coalesce(sum(score) FILTER (walk = 'distrust'), 0) AS distrust FROM moved GROUP BY host)
 SELECT page_id, r.host, path, rule, coalesce(says, CASE WHEN distrust > (1 + 1e-9) * trust THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled r LEFT JOIN judged j ON j.host = r.host"""
 
