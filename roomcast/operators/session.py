@@ -63,6 +63,43 @@ def candidate_gate(events: DataFrame, cand_col: str, room_floor: dict[str, int],
     )
 
 
+def gate_by_map(events: DataFrame, cand_col: str, map_col: str, aliases: dict[str, str],
+                threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
+    """The gate against a room index in a map column ``MAP<room_id, STRUCT<...>>``: row by row, so that it also runs on a stream.
+
+    Drops the candidate and map columns; the fields of the selected room come along as ``selected_<field>``, ``has_cell`` as it is.
+    """
+    fields = [f.name for f in events.schema[map_col].dataType.valueType.fields]
+    mapped = F.transform(F.col(cand_col), lambda c: F.struct(map_room(c["room_id"], aliases).alias("room_id"), c["probability"].alias("probability")))
+    usable = F.filter(F.array_distinct(mapped), lambda c: (c["room_id"] != "") & F.try_element_at(F.col(map_col), c["room_id"]).isNotNull())
+    first = F.try_element_at(F.filter("_usable", lambda c: c["probability"] >= threshold), F.lit(1))
+    out = events.withColumn("_usable", usable).withColumn("_first", first).withColumn("_room", F.try_element_at(F.col(map_col), F.col("_first.room_id")))
+    reject = F.when(F.size("_usable") == 0, "no_mapped_candidate").when(F.col("_first").isNull(), "low_confidence")
+    kept = [c for c in events.columns if c not in (cand_col, map_col)]
+    named = [F.col(f"_room.{f}").alias(f if f == "has_cell" else f"selected_{f}") for f in fields]
+    return out.select(*kept, F.col("_first.room_id").alias("selected"), F.col("_first.probability").alias("selected_prob"), reject.alias("reject"), *named)
+
+
+def gate_by_index(events: DataFrame, cand_col: str, index: DataFrame, aliases: dict[str, str],
+                  threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
+    """ST1 + J4 + W7 against the room index as a table ``(room_id, floor, ...)``: as ``candidate_gate``.
+
+    ``event_id`` must be unique.  The index columns of the selected room come along as ``selected_<column>``.
+    """
+    more = [c for c in index.columns if c != "room_id"]
+    mapped = F.transform(F.col(cand_col), lambda c: F.struct(map_room(c["room_id"], aliases).alias("room_id"), c["probability"].alias("probability")))
+    rows = events.select("event_id", F.posexplode(F.array_distinct(mapped)).alias("pos", "c")).select("event_id", "pos", "c.*")
+    usable = rows.where("room_id <> ''").join(index, "room_id")
+    first = F.min(F.when(F.col("probability") >= threshold, F.struct("pos", "room_id", "probability", *more))).alias("first")
+    picked = usable.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_usable"), first)
+    out = events.join(picked, "event_id", "left")
+    reject = F.when(F.col("n_usable").isNull(), "no_mapped_candidate").when(F.col("first").isNull(), "low_confidence")
+    return out.select(
+        *events.columns, F.col("first.room_id").alias("selected"), F.col("first.probability").alias("selected_prob"), reject.alias("reject"),
+        *(F.col(f"first.{c}").alias(f"selected_{c}") for c in more),
+    )
+
+
 def transition(state: dict, ev: dict, required: int = TRANSITION_HITS_REQUIRED):
     """One step of the confirmation filter.  Returns (decision dict, new state).
 
@@ -123,13 +160,19 @@ def _decision_row(key, event_id, out, s):
     }
 
 
-EVENT_COLS = ["session_id", "ts", "event_id", "failed", "selected", "reject", "selected_floor", "goal", "route_ok"]
+EVENT_COLS = ["session_id", "ts", "event_id", "failed", "selected", "reject", "selected_floor", "goal", "route_ok", "has_cell"]
+
+
+def event_rows(gated: DataFrame) -> DataFrame:
+    """The columns that the state machine reads; rooms have a cell unless ``has_cell`` says otherwise."""
+    has_cell = F.col("has_cell") if "has_cell" in gated.columns else F.lit(True)
+    return gated.withColumn("has_cell", has_cell).select(*EVENT_COLS)
 
 
 def decide_sorted(gated: DataFrame, required: int = TRANSITION_HITS_REQUIRED, partitions: int | None = None) -> DataFrame:
     """Batch ST2: decisions for every event, sessions processed in ``(ts, event_id)`` order."""
     n = partitions or int(gated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = gated.select(*EVENT_COLS).repartition(n, "session_id").sortWithinPartitions("session_id", "ts", "event_id")
+    ordered = event_rows(gated).repartition(n, "session_id").sortWithinPartitions("session_id", "ts", "event_id")
 
     def run(batches):
         key, state = None, dict(EMPTY_STATE)

@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from roomcast.functions.exprs import DEFAULT_ROOM_ALIASES
 from roomcast.operators import session as SS
+from roomcast.operators.grid import best_routes
+from roomcast.plans.q_routes import route_ctes, search
 from roomcast.plans.registry import register
 from roomcast.plans.sqlparts import CELLS
+from roomcast.session import materialize, scalar
+from roomcast.sources import maps
 from roomcast.sources.tables import table
 
 # --- fixture: events as localisation results --------------------------------------
@@ -16,12 +20,10 @@ ROOM_FLOOR = {"view": 1, "click": 1, "purchase": 2}  # 'signup' has no map recor
 ALIASES = dict(DEFAULT_ROOM_ALIASES, ERROR="purchase")  # caller-added alias on top of the defaults
 
 
-def session_events(spark, sf):
+def localisations(e):
     """Localisation results per event: top room = event type, confidence = least(value/100, 1),
     a second candidate ``view`` at least(value/200, 1); a value below 1 is a failed
-    localisation; goal alternates with the hour; step-free access when value > 100;
-    routing from ``click`` fails for step-free requests."""
-    e = table(spark, sf, "events")
+    localisation; goal alternates with the hour; step-free access when value > 100."""
     conf = F.least(F.col("value") / 100.0, F.lit(1.0))
     cands = F.array(
         F.struct(F.col("event_type").alias("room_id"), conf.alias("probability")),
@@ -36,11 +38,16 @@ def session_events(spark, sf):
     )
 
 
-def gated_events(spark, sf):
-    g = SS.candidate_gate(session_events(spark, sf), "candidates", ROOM_FLOOR, ALIASES)
+def gate(results):
+    """Gated results; routing from ``click`` fails for step-free requests."""
+    g = SS.candidate_gate(results, "candidates", ROOM_FLOOR, ALIASES)
     return g.withColumn("route_ok", ~((F.col("selected") == "click") & F.col("accessible")))
 
 
+def gated_events(spark, sf):
+    return gate(localisations(table(spark, sf, "events")))
+
+
 GATE_SQL = """
 ev AS (SELECT user_id AS session_id, ts, event_id, value < 1.0 AS failed,
               least(value / 100.0, 1.0) AS conf, least(value / 200.0, 1.0) AS conf2, event_type,
@@ -67,7 +74,7 @@ pick AS (SELECT event_id, count(*) AS n_usable,
 gate AS (SELECT e.session_id, e.ts, e.event_id, e.failed, e.goal, e.accessible, p.selected, p.selected_prob, p.selected_floor,
                 CASE WHEN coalesce(p.n_usable, 0) = 0 THEN 'no_mapped_candidate'
                      WHEN p.selected IS NULL THEN 'low_confidence' END AS reject,
-                NOT (coalesce(p.selected = 'click', false) AND e.accessible) AS route_ok
+                NOT (coalesce(p.selected = 'click', false) AND e.accessible) AS route_ok, true AS has_cell
          FROM ev e LEFT JOIN pick p USING (event_id))
 """
 
@@ -84,8 +91,7 @@ def candidate_gate(spark, sf):
     return g.select("session_id", "event_id", "selected", r6(F.col("selected_prob")).alias("selected_prob"), "reject", "selected_floor")
 
 
-DECIDE_SQL = f"""
-WITH RECURSIVE {GATE_SQL},
+_STEPS_SQL = """
 seq AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS rn FROM gate),
 st AS (
   SELECT session_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS status,
@@ -95,19 +101,19 @@ st AS (
   FROM (SELECT DISTINCT session_id FROM seq)
   UNION ALL
   SELECT session_id, rn, event_id,
-    CASE WHEN r1 THEN 'error' WHEN r23 THEN 'hold' WHEN r6 THEN 'ok' WHEN r8 THEN 'hold' WHEN route_ok THEN 'ok' ELSE 'error' END,
-    CASE WHEN r1 THEN 'localization_error' WHEN r23 THEN reject WHEN r6 THEN 'rerouted' WHEN r8 THEN 'awaiting_confirmation'
+    CASE WHEN r1 OR r4 THEN 'error' WHEN r23 THEN 'hold' WHEN r6 THEN 'ok' WHEN r8 THEN 'hold' WHEN route_ok THEN 'ok' ELSE 'error' END,
+    CASE WHEN r1 THEN 'localization_error' WHEN r23 THEN reject WHEN r4 THEN 'routing_error' WHEN r6 THEN 'rerouted' WHEN r8 THEN 'awaiting_confirmation'
          WHEN route_ok THEN 'rerouted' ELSE 'routing_error' END,
     CASE WHEN r1 OR r23 THEN NULL WHEN r6 THEN active ELSE sel END,
-    CASE WHEN r1 OR r23 THEN NULL WHEN r6 THEN active_floor WHEN r8 THEN sel_floor WHEN route_ok THEN sel_floor ELSE NULL END,
-    (NOT r1 AND NOT r23 AND NOT r6 AND NOT r8 AND route_ok),
+    CASE WHEN r1 OR r23 OR r4 THEN NULL WHEN r6 THEN active_floor WHEN r8 THEN sel_floor WHEN route_ok THEN sel_floor ELSE NULL END,
+    (NOT r1 AND NOT r23 AND NOT r4 AND NOT r6 AND NOT r8 AND route_ok),
     CASE WHEN (r5 OR r7 OR r9) AND route_ok THEN sel ELSE active END,
     CASE WHEN (r5 OR r7 OR r9) AND route_ok THEN sel_floor ELSE active_floor END,
-    CASE WHEN r1 OR r23 THEN pend WHEN r5 THEN (CASE WHEN route_ok THEN NULL ELSE pend END) WHEN r6 OR r7 THEN NULL
+    CASE WHEN r1 OR r23 OR r4 THEN pend WHEN r5 THEN (CASE WHEN route_ok THEN NULL ELSE pend END) WHEN r6 OR r7 THEN NULL
          WHEN r8 THEN sel WHEN route_ok THEN NULL ELSE sel END,
-    CASE WHEN r1 OR r23 THEN pend_floor WHEN r5 THEN (CASE WHEN route_ok THEN NULL ELSE pend_floor END) WHEN r6 OR r7 THEN NULL
+    CASE WHEN r1 OR r23 OR r4 THEN pend_floor WHEN r5 THEN (CASE WHEN route_ok THEN NULL ELSE pend_floor END) WHEN r6 OR r7 THEN NULL
          WHEN r8 THEN sel_floor WHEN route_ok THEN NULL ELSE sel_floor END,
-    CASE WHEN r1 OR r23 THEN hits WHEN r5 THEN (CASE WHEN route_ok THEN 0 ELSE hits END) WHEN r6 OR r7 THEN 0
+    CASE WHEN r1 OR r23 OR r4 THEN hits WHEN r5 THEN (CASE WHEN route_ok THEN 0 ELSE hits END) WHEN r6 OR r7 THEN 0
          WHEN r8 THEN nh WHEN route_ok THEN 0 ELSE nh END,
     CASE WHEN (r5 OR r7 OR r9) AND route_ok THEN goal ELSE last_goal END
   FROM (
@@ -115,15 +121,16 @@ st AS (
            s.active, s.active_floor, s.pend, s.pend_floor, s.hits, s.last_goal,
            e.failed AS r1,
            (NOT e.failed AND e.selected IS NULL) AS r23,
-           (NOT e.failed AND e.selected IS NOT NULL AND s.active IS NULL) AS r5,
-           (NOT e.failed AND e.selected IS NOT NULL AND s.active IS NOT NULL AND e.selected = s.active
+           (NOT e.failed AND e.selected IS NOT NULL AND NOT e.has_cell) AS r4,
+           (NOT e.failed AND e.selected IS NOT NULL AND e.has_cell AND s.active IS NULL) AS r5,
+           (NOT e.failed AND e.selected IS NOT NULL AND e.has_cell AND s.active IS NOT NULL AND e.selected = s.active
                 AND s.last_goal IS NOT NULL AND s.last_goal = e.goal) AS r6,
-           (NOT e.failed AND e.selected IS NOT NULL AND s.active IS NOT NULL AND e.selected = s.active
+           (NOT e.failed AND e.selected IS NOT NULL AND e.has_cell AND s.active IS NOT NULL AND e.selected = s.active
                 AND NOT (s.last_goal IS NOT NULL AND s.last_goal = e.goal)) AS r7,
            CASE WHEN s.pend = e.selected AND s.pend_floor = e.selected_floor THEN s.hits + 1 ELSE 1 END AS nh,
-           (NOT e.failed AND e.selected IS NOT NULL AND s.active IS NOT NULL AND e.selected <> s.active
+           (NOT e.failed AND e.selected IS NOT NULL AND e.has_cell AND s.active IS NOT NULL AND e.selected <> s.active
                 AND (CASE WHEN s.pend = e.selected AND s.pend_floor = e.selected_floor THEN s.hits + 1 ELSE 1 END) < 2) AS r8,
-           (NOT e.failed AND e.selected IS NOT NULL AND s.active IS NOT NULL AND e.selected <> s.active
+           (NOT e.failed AND e.selected IS NOT NULL AND e.has_cell AND s.active IS NOT NULL AND e.selected <> s.active
                 AND (CASE WHEN s.pend = e.selected AND s.pend_floor = e.selected_floor THEN s.hits + 1 ELSE 1 END) >= 2) AS r9
     FROM st s JOIN seq e ON e.session_id = s.session_id AND e.rn = s.rn + 1
   ) x
@@ -133,6 +140,8 @@ SELECT session_id, event_id, status, reason, selected_room_id, selected_floor, r
 FROM st WHERE rn > 0
 """
 
+DECIDE_SQL = f"WITH RECURSIVE {GATE_SQL}, {_STEPS_SQL}"
+
 
 @register("session_decisions", sql=DECIDE_SQL)
 def session_decisions(spark, sf):
@@ -149,6 +158,105 @@ def session_stream(spark, sf):
     return run_decisions_stream(spark, sf)
 
 
+# --- decisions on real routes (J10) ----------------------------------------------------
+
+#: Fixed value of the fixture: an alias that the caller adds.
+ROUTE_ALIASES = {"E1": "elevator5"}
+
+
+def _room_sql(k: str) -> str:
+    return (f"CASE WHEN {k} % 5 = 0 THEN 'elevator' || CAST({k} AS VARCHAR) WHEN {k} % 5 = 1 THEN 'stair' || CAST({k} AS VARCHAR) "
+            f"ELSE '10.' || CAST(CAST({k} % 2 + 1 AS INTEGER) AS VARCHAR) || '.' || CAST({k} AS VARCHAR) END")
+
+
+def room_localisations(e, n):
+    """Localisation results on the map of ``n`` rooms: the top room moves among three near the user's own one, which is the last
+    candidate; errors name an alias, signups no room; the goal changes with the hour; step-free access when value > 100."""
+    own, near = F.col("user_id") % n, (F.col("user_id") + F.floor(F.col("event_id") / 7) % 3) % n
+    top = F.when(F.col("event_type") == "error", " e1 ").when(F.col("event_type") == "signup", "nowhere").otherwise(maps.room_id(near))
+    conf = F.least(F.col("value") / 100.0, F.lit(1.0))
+    first = F.struct(top.alias("room_id"), conf.alias("probability"))
+    last = F.struct(maps.room_id(own).alias("room_id"), F.least(F.col("value") / 200.0, F.lit(1.0)).alias("probability"))
+    goal = (F.col("user_id") * 3 + F.hour("ts") % 2) % n
+    return e.select(
+        F.col("user_id").alias("session_id"), "ts", "event_id", (F.col("value") < 1.0).alias("failed"),
+        F.array(first, first, last).alias("candidates"), maps.room_id(goal).alias("goal"), goal.alias("goal_ord"),
+        (F.col("value") > 100.0).alias("accessible"),
+    )
+
+
+_ROOM_GATE_SQL = f"""
+ev AS (SELECT user_id AS session_id, ts, event_id, value < 1.0 AS failed, least(value / 100.0, 1.0) AS conf, least(value / 200.0, 1.0) AS conf2,
+              value > 100.0 AS accessible, event_type, user_id % n AS own, (user_id + (event_id // 7) % 3) % n AS near_ord, (user_id * 3 + hour(ts) % 2) % n AS goal_ord
+       FROM events, (SELECT max(s_suppkey) + 1 AS n FROM supplier)),
+g_cand AS (SELECT event_id, 1 AS ord, CASE event_type WHEN 'error' THEN 'elevator5' WHEN 'signup' THEN 'nowhere' ELSE {_room_sql('near_ord')} END AS room_id, conf AS prob FROM ev
+           UNION ALL SELECT event_id, 2, {_room_sql('own')}, conf2 FROM ev),
+g_dedup AS (SELECT * FROM g_cand QUALIFY row_number() OVER (PARTITION BY event_id, room_id, prob ORDER BY ord) = 1),
+g_usable AS (SELECT c.event_id, c.ord, c.prob, c.room_id, m.floor, m.ord AS room_ord FROM g_dedup c JOIN rooms m ON m.room_id = c.room_id),
+g_pick AS (SELECT event_id, min(CASE WHEN prob >= 0.6 THEN ord END) AS ord FROM g_usable GROUP BY 1),
+picked AS (SELECT e.session_id, e.ts, e.event_id, e.failed, {_room_sql('e.goal_ord')} AS goal, e.goal_ord, e.accessible, u.room_id AS selected, u.floor AS selected_floor,
+                  u.room_ord AS selected_ord, CASE WHEN p.event_id IS NULL THEN 'no_mapped_candidate' WHEN p.ord IS NULL THEN 'low_confidence' END AS reject
+           FROM ev e LEFT JOIN g_pick p USING (event_id) LEFT JOIN g_usable u ON u.event_id = p.event_id AND u.ord = p.ord),
+wanted AS (SELECT DISTINCT selected_ord, goal_ord, accessible FROM picked WHERE selected IS NOT NULL),
+rq AS (SELECT row_number() OVER (ORDER BY selected_ord, goal_ord, accessible) AS req, selected_ord AS start_ord, goal_ord, accessible FROM wanted)"""
+
+ROUTED_SQL = f"""{route_ctes(_ROOM_GATE_SQL)},
+gate AS (SELECT p.*, coalesce(o.status = 'ok', false) AS route_ok, s.room_id IS NOT NULL AS has_cell
+         FROM picked p LEFT JOIN rq q ON q.start_ord = p.selected_ord AND q.goal_ord = p.goal_ord AND q.accessible = p.accessible
+         LEFT JOIN routes o ON o.req = q.req LEFT JOIN snap s ON s.room_id = p.selected),
+{_STEPS_SQL}"""
+
+
+class RouteIndex:
+    """The room index and the routes between all rooms that events may ask for, as tables."""
+
+    def __init__(self, spark, sf):
+        self.n = int(scalar(table(spark, sf, "supplier").agg(F.max("s_suppkey") + 1)))
+        self.rooms, self.snapped, self.field = search(spark, sf)
+        self.index = materialize(self.rooms.select("room_id", "floor", "ord"))
+
+    def gated(self, results):
+        """Results of ``room_localisations`` with the selected room, whether it has a cell, and which route would be asked for."""
+        g = SS.gate_by_index(results, "candidates", self.index, ROUTE_ALIASES)
+        cells = self.snapped.select(F.col("room_id").alias("selected"), F.lit(True).alias("has_cell"))
+        return g.join(cells, "selected", "left").withColumn("has_cell", F.coalesce("has_cell", F.lit(False)))
+
+    def statuses(self, gated):
+        """Route status of every distinct (selected room, goal, access) of gated events: ``(selected, goal, accessible, route_ok)``."""
+        asked = gated.where(F.col("selected").isNotNull()).select("selected", "selected_ord", "goal", "goal_ord", "accessible").distinct()
+        asked = materialize(asked.withColumn("req", F.monotonically_increasing_id()))
+        on_cells = self.field.on(self.snapped.select("floor", F.col("cy").alias("y"), F.col("cx").alias("x")))
+        routes = best_routes(asked.select("req", F.col("selected_ord").alias("start_ord"), "goal_ord", "accessible"), self.rooms, self.snapped, on_cells)
+        return materialize(asked.join(routes.select("req", (F.col("status") == "ok").alias("route_ok")), "req").select("selected", "goal", "accessible", "route_ok"))
+
+    def routed(self, gated, statuses):
+        return gated.join(statuses, ["selected", "goal", "accessible"], "left").withColumn("route_ok", F.coalesce("route_ok", F.lit(False)))
+
+
+@register("session_routes", sql=ROUTED_SQL)
+def session_routes(spark, sf):
+    """J10 + ST1 + ST2: decisions on the map: the gate joins the room index, and a change is confirmed only if the route
+    from the selected room to the session's goal exists."""
+    index = RouteIndex(spark, sf)
+    gated = materialize(index.gated(room_localisations(table(spark, sf, "events"), index.n)))
+    return SS.decide_sorted(index.routed(gated, index.statuses(gated)))
+
+
+@register("session_routes_stream", sql=ROUTED_SQL)
+def session_routes_stream(spark, sf):
+    """J10 as a stream: gate and state run on the stream; the statuses of all routes that the events ask for are a static table."""
+    from roomcast.streaming.session_stream import decisions_stream, events_stream, run_stream, stream_base
+
+    index = RouteIndex(spark, sf)
+    statuses = index.statuses(index.gated(room_localisations(table(spark, sf, "events"), index.n)))
+    # on a stream an aggregate would wait for a watermark: the gate takes the index as a map of one row
+    rooms = index.index.join(index.snapped.select("room_id", F.lit(True).alias("has_cell")), "room_id", "left")
+    one = materialize(rooms.agg(F.map_from_entries(F.collect_list(F.struct("room_id", F.struct("floor", "ord", F.coalesce("has_cell", F.lit(False)).alias("has_cell"))))).alias("rooms")))
+    events = room_localisations(events_stream(spark, sf), index.n).join(one)
+    gated = SS.gate_by_map(events, "candidates", "rooms", ROUTE_ALIASES)
+    return run_stream(spark, decisions_stream(index.routed(gated, statuses)), stream_base(spark))
+
+
 # --- validation -------------------------------------------------------------------
 
 # Payload variants, selected by the ``k`` of ``events.props`` (k % 9); $EVENT and $USER are the row's ids:

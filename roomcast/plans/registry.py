@@ -76,6 +76,7 @@ def oracles() -> dict[str, str]:
 def _load_all() -> None:
     # Importing the plan modules fills the registry.
     from roomcast.plans import (  # noqa: F401
+        q_cells,
         q_clean,
         q_eda,
         q_knn,

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,18 +124,26 @@ def pixels(spark: SparkSession, sf: str, w: int) -> DataFrame:
     )
 
 
-def rooms(spark: SparkSession, sf: str, w: int) -> DataFrame:
-    s = table(spark, sf, "supplier")
-    k = F.col("s_suppkey")
-    kind = F.when(k % 5 == 0, F.lit("elevator")).when(k % 5 == 1, F.lit("stairway")).otherwise(F.lit("room"))
-    floor = (k % 2 + 1).cast("int")
-    rid = (
+def room_kind(k: Column) -> Column:
+    return F.when(k % 5 == 0, F.lit("elevator")).when(k % 5 == 1, F.lit("stairway")).otherwise(F.lit("room"))
+
+
+def room_id(k: Column) -> Column:
+    """The id of the fixture's room number ``k``."""
+    kind, floor = room_kind(k), (k % 2 + 1).cast("int")
+    return (
         F.when(kind == "elevator", F.concat(F.lit("elevator"), k.cast("string")))
         .when(kind == "stairway", F.concat(F.lit("stair"), k.cast("string")))
         .otherwise(F.concat(F.lit("10."), floor.cast("string"), F.lit("."), k.cast("string")))
     )
+
+
+def rooms(spark: SparkSession, sf: str, w: int) -> DataFrame:
+    s = table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    kind, floor = room_kind(k), (k % 2 + 1).cast("int")
     return s.select(
-        k.alias("ord"), rid.alias("room_id"), floor.alias("floor"), kind.alias("type"),
+        k.alias("ord"), room_id(k).alias("room_id"), floor.alias("floor"), kind.alias("type"),
         (kind != "stairway").alias("accessible"),
         ((k * 7) % w).cast("int").alias("y"), ((k * 13) % w).cast("int").alias("x"),
     )

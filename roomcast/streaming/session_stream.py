@@ -4,7 +4,9 @@ The gate is stateless and runs in the stream before the shuffle; the state
 machine keeps ``(active, pending, hits, last goal)`` per session in the state
 store.  Inside a micro-batch a session's events are put in ``(ts, event_id)``
 order; across micro-batches the source order is kept.  The micro-batch size
-(trigger limits of the source) bounds the rows one key sees at once.
+(trigger limits of the source) bounds the rows one key sees at once.  With ``idle`` a session's
+state is dropped once the watermark is that much behind its last event, so the state store
+holds the sessions that are still going on.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from roomcast.operators import session as SS
@@ -22,8 +23,11 @@ from roomcast.session import checkpoint_dir
 STATE_SCHEMA = "active string, active_floor int, pend string, pend_floor int, hits int, last_goal string"
 
 
-def _state_fn(required: int):
+def _state_fn(required: int, idle_ms: int | None):
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         if state.exists:
             a, af, p, pf, h, g = state.get
             st = {"active": a, "active_floor": af, "pend": p, "pend_floor": pf, "hits": h, "last_goal": g}
@@ -38,45 +42,57 @@ def _state_fn(required: int):
             out, st = SS.transition(st, ev, required)
             rows.append(SS._decision_row(key[0], ev["event_id"], out, st))
         state.update((st["active"], st["active_floor"], st["pend"], st["pend_floor"], int(st["hits"]), st["last_goal"]))
+        if idle_ms is not None:
+            last = int(batch["ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(rows)
 
     return fn
 
 
-def decisions_stream(gated_stream: DataFrame, required: int = SS.TRANSITION_HITS_REQUIRED) -> DataFrame:
-    """Streaming DataFrame of decisions from a streaming DataFrame of gated events."""
-    return gated_stream.select(*SS.EVENT_COLS).groupBy("session_id").applyInPandasWithState(
-        _state_fn(required), SS.DECISION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
-
+def decisions_stream(
+    gated_stream: DataFrame, required: int = SS.TRANSITION_HITS_REQUIRED, late: str | None = None, idle_ms: int | None = None
+) -> DataFrame:
+    """Streaming DataFrame of decisions from a streaming DataFrame of gated events.
 
-def run_decisions_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Run the stream over ``events`` with ``availableNow`` into a parquet sink; return the sink table.
-
-    Sink and checkpoint live under the shared checkpoint folder.
+    ``late`` (a watermark delay) with ``idle_ms`` ends sessions without events; without them a session never ends.
     """
-    from roomcast.plans import q_sessions as QS
-
-    base = checkpoint_dir(spark).rstrip("/") + f"/session-stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    # The file source watches a folder; the glob filter keeps only the events table.
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    e = src.select(
-        F.col("user_id").alias("session_id"), "ts", "event_id", (F.col("value") < 1.0).alias("failed"),
-        F.array(
-            F.struct(F.col("event_type").alias("room_id"), F.least(F.col("value") / 100.0, F.lit(1.0)).alias("probability")),
-            F.struct(F.col("event_type").alias("room_id"), F.least(F.col("value") / 100.0, F.lit(1.0)).alias("probability")),
-            F.struct(F.lit("view").alias("room_id"), F.least(F.col("value") / 200.0, F.lit(1.0)).alias("probability")),
-        ).alias("candidates"),
-        F.when(F.hour("ts") % 2 == 0, F.lit("purchase")).otherwise(F.lit("view")).alias("goal"),
-        (F.col("value") > 100.0).alias("accessible"),
+    if (late is None) != (idle_ms is None):
+        raise ValueError("late and idle_ms go together")
+    rows = SS.event_rows(gated_stream)
+    if late is not None:
+        rows = rows.withWatermark("ts", late)
+    timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("session_id").applyInPandasWithState(
+        _state_fn(required, idle_ms), SS.DECISION_SCHEMA, STATE_SCHEMA, "append", timeout
     )
-    g = SS.candidate_gate(e, "candidates", QS.ROOM_FLOOR, QS.ALIASES)
-    g = g.withColumn("route_ok", ~((F.col("selected") == "click") & F.col("accessible")))
+
+
+def run_stream(spark: SparkSession, decisions: DataFrame, base: str) -> DataFrame:
+    """Runs decisions over what the source holds into a Parquet sink and returns the sink's rows."""
     q = (
-        decisions_stream(g).writeStream.format("parquet")
+        decisions.writeStream.format("parquet")
         .option("path", base + "/out").option("checkpointLocation", base + "/chk")
         .outputMode("append").trigger(availableNow=True).start()
     )
     q.awaitTermination()
     return spark.read.schema(SS.DECISION_SCHEMA).parquet(base + "/out")
+
+
+def events_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a file stream; the glob filter keeps only that table of the folder."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def stream_base(spark: SparkSession) -> str:
+    """A new folder for sink and checkpoint under the shared checkpoint folder."""
+    return checkpoint_dir(spark).rstrip("/") + f"/session-stream-{uuid.uuid4().hex}"
+
+
+def run_decisions_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The confirmation filter as a stream over ``events`` (``availableNow``)."""
+    from roomcast.plans import q_sessions as QS
+
+    gated = QS.gate(QS.localisations(events_stream(spark, sf)))
+    return run_stream(spark, decisions_stream(gated), stream_base(spark))

@@ -1,6 +1,10 @@
 """Candidate gate and confirmation state machine: the reference's scenarios plus derived ones."""
 
+from pyspark.sql import functions as F
+
+from roomcast.operators import session as SS
 from roomcast.operators.session import EMPTY_STATE, candidate_gate, transition
+from roomcast.streaming.session_stream import decisions_stream, run_stream
 
 IDX = {"10.1.17": 1, "10.1.18": 1, "elevator1": 1, "10.2.63": 2}
 ALIASES = {"E1": "elevator1", "E2": "elevator2"}
@@ -68,3 +72,40 @@ def test_same_room_new_goal_reroutes_and_localization_error():
     ev = [{"selected": "A", "selected_floor": 1}, {"selected": "A", "selected_floor": 1, "goal": "H"},
           {"failed": True, "selected": None}]
     assert _run(ev) == [("ok", "rerouted", "A"), ("ok", "rerouted", "A"), ("error", "localization_error", "A")]
+
+
+def test_all_transitions_on_routes(spark):
+    """The nine outcomes of the filter, from events gated by the room index."""
+    index = spark.createDataFrame([("r1", 1), ("r2", 1), ("r3", 2), ("walled", 2)], "room_id string, floor int")
+    ask = [  # failed, room, probability, goal
+        (True, "r1", 0.9, "g"), (False, "nowhere", 0.9, "g"), (False, "r1", 0.3, "g"), (False, "walled", 0.9, "g"),
+        (False, "r1", 0.9, "far"), (False, "r1", 0.9, "g"), (False, "r1", 0.9, "g"), (False, "r1", 0.9, "h"),
+        (False, "r2", 0.9, "h"), (False, "r2", 0.9, "far"), (False, "r2", 0.9, "h"), (False, " e9 ", 0.9, "h"), (False, "r3", 0.9, "h"),
+    ]
+    rows = [(7, i, i, f, [(room, p), (room, p)], goal) for i, (f, room, p, goal) in enumerate(ask)]
+    events = spark.createDataFrame(rows, "session_id long, ts long, event_id long, failed boolean, candidates array<struct<room_id:string,probability:double>>, goal string")
+    events = events.withColumn("ts", F.timestamp_seconds("ts"))
+    gated = SS.gate_by_index(events, "candidates", index, {"E9": "r3"})
+    gated = gated.withColumn("route_ok", F.col("goal") != "far").withColumn("has_cell", F.col("selected") != "walled")
+    got = [(r.status, r.reason, r.selected_room_id, r.selected_floor, r.rerouted, r.active_room_id, r.pending_hits) for r in SS.decide_sorted(gated).orderBy("event_id").collect()]
+    assert got == [
+        ("error", "localization_error", None, None, False, None, 0), ("hold", "no_mapped_candidate", None, None, False, None, 0),
+        ("hold", "low_confidence", None, None, False, None, 0), ("error", "routing_error", "walled", None, False, None, 0),
+        ("error", "routing_error", "r1", None, False, None, 0), ("ok", "rerouted", "r1", 1, True, "r1", 0),
+        ("ok", "rerouted", "r1", 1, False, "r1", 0), ("ok", "rerouted", "r1", 1, True, "r1", 0),
+        ("hold", "awaiting_confirmation", "r2", 1, False, "r1", 1), ("error", "routing_error", "r2", None, False, "r1", 2),
+        ("ok", "rerouted", "r2", 1, True, "r2", 0), ("hold", "awaiting_confirmation", "r3", 2, False, "r2", 1), ("ok", "rerouted", "r3", 2, True, "r3", 0),
+    ]
+
+
+def test_idle_sessions_end_on_a_stream(spark, tmp_path):
+    """A session that is silent for longer than the limit starts anew: its first room is taken without confirmation."""
+    schema = "session_id long, ts timestamp, event_id long, failed boolean, selected string, reject string, selected_floor int, goal string, route_ok boolean"
+    for n, (s, sec, room) in enumerate([(1, 0, "a"), (2, 5000, "z"), (2, 5001, "z"), (1, 9000, "b")]):
+        df = spark.createDataFrame([(s, 10**9 + sec, n, False, room, None, 1, "g", True)], schema.replace("ts timestamp", "ts long")).withColumn("ts", F.timestamp_seconds("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    kept = run_stream(spark, decisions_stream(source), str(tmp_path / "kept"))
+    ended = run_stream(spark, decisions_stream(source, late="1 second", idle_ms=600_000), str(tmp_path / "ended"))
+    assert {r.event_id: r.reason for r in kept.collect()}[3] == "awaiting_confirmation"
+    assert {r.event_id: r.reason for r in ended.collect()} == {i: "rerouted" for i in range(4)}
