@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 
 from roomcast.llm.frames import bounded_rows, rows_out
 
-#: Pre-tokens in each of the two generations of a task's memo, and the longest one kept (characters).
-MEMO_ENTRIES = 300_000
+#: Pre-tokens in each of the two generations of a worker's memo (some 20 MB each), and the longest one kept (characters).
+MEMO_ENTRIES = 100_000
 MEMO_CHARS = 64
+#: Text that is encoded at once (bytes).
+SLICE = 2 << 20
 
 
 class RankQueue:
@@ -168,7 +170,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for part in bounded_rows(batch, "text", 8 << 20):
+            for part in bounded_rows(batch, "text", SLICE):
                 ids = [own.encode(t or "") for t in part.column("text").to_pylist()]
                 yield rows_out(out, [part.column("key"), [len(x) // 4 for x in ids], ids])
 
@@ -216,9 +218,10 @@ def round_trip(
             return (*found, ids) if with_ids else found
 
         for batch in batches:
-            for part in bounded_rows(batch, "text", 8 << 20):
+            for part in bounded_rows(batch, "text", SLICE):
                 found = [digests(t) for t in part.column("text").to_pylist()]
                 yield rows_out(out, [part.column("key"), *zip(*found)])
+        pa.default_memory_pool().release_unused()
 
     schema = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return kept.mapInArrow(run, schema).withColumnRenamed("key", id_col)

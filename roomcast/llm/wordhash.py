@@ -32,7 +32,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, U)
         have[0] = 1
         have = np.cumprod(have)
-        if size <= 8 * BLOCK:
+        if size <= BLOCK + 4096:  # a longer table is for one very long text, and goes with it
             _POWERS[base] = have
     return have[:n]
 
