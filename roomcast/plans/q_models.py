@@ -491,3 +491,57 @@ def kmeans_patterns(spark, sf):
     df = vecs.select("scan_id", array_to_vector("vec").alias("features"))
     model = KMeans(k=8, seed=42, maxIter=20).fit(df)
     return model.transform(df).select("scan_id", F.col("prediction").alias("cluster"))
+
+
+# --- grids (M9, M10, M11, X3): rows only, quality is bounded in tests -------------------------
+
+#: The grids' axes; trees are fewer in the registered query than the 50 and 100 of the grid itself.
+TREE_DEPTHS, TREE_RATES, MLP_HIDDEN = [3, 4, 5], [0.1, 0.2], [(50,), (100,), (50, 50)]
+
+
+def _grid_frame(spark, sf, n_folds=3):
+    df = S.stratified_folds(_ml_frame(spark, sf), "vec_id", "label", n_folds)
+    return df.withColumn("x", F.col("label") * 10.0 + (F.col("vec_id") % 7)).withColumn("y", (F.col("vec_id") % 13).cast("double"))
+
+
+def _grid_rows(spark, kind, rows):
+    named = [(kind, ", ".join(f"{k}={v}" for k, v in r.items() if k not in ("score_mean", "score_std", "best")), r["score_mean"], r["score_std"], r["best"]) for r in rows]
+    return spark.createDataFrame(named, "model string, setting string, score_mean double, score_std double, best boolean")
+
+
+@register("tree_grid")
+def tree_grid(spark, sf, trees=(10,)):
+    """M9 + X3: boosted trees for (x, y) over depth and rate, scored by the negative mean position error in 3 stratified folds."""
+    from roomcast.operators import tuning
+
+    estimator, maps, settings = tuning.tree_grid(list(trees), TREE_DEPTHS, TREE_RATES)
+    df = materialize(_grid_frame(spark, sf))
+    return _grid_rows(spark, "gbt", tuning.cross_validated(df, estimator, maps, settings, tuning.NegativePositionError(), 3))
+
+
+@register("mlp_grid")
+def mlp_grid(spark, sf, iterations=60):
+    """Hidden layers of the perceptron, scored by accuracy in 3 stratified folds."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    from roomcast.operators import tuning
+
+    df = materialize(_grid_frame(spark, sf).withColumn("label", F.col("label").cast("double")))
+    n_classes, dim = int(df.agg(F.max("label")).first()[0]) + 1, len(df.select("features").first()[0])
+    estimator, maps, settings = tuning.mlp_grid(MLP_HIDDEN, dim, n_classes, iterations)
+    return _grid_rows(spark, "mlp", tuning.cross_validated(df, estimator, maps, settings, MulticlassClassificationEvaluator(metricName="accuracy"), 3))
+
+
+@register("tree_classifiers")
+def tree_classifiers(spark, sf, trees=20, depth=8):
+    """Building (here: parity of the class) and floor (here: class) classifiers: random forests, holdout predictions."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    df = materialize(_ml_frame(spark, sf).withColumn("building", (F.col("label") % 2).cast("double")).withColumn("floor", F.col("label").cast("double")))
+    train, test = df.where(~F.col("is_test")), df.where("is_test")
+    parts = []
+    for target in ("building", "floor"):
+        model = RandomForestClassifier(labelCol=target, numTrees=trees, maxDepth=depth, seed=42).fit(train)
+        pred = model.transform(test)
+        parts.append(pred.select(F.lit(target).alias("target"), F.col("vec_id").alias("query_id"), F.col(target).cast("int").alias("true_label"), F.col("prediction").cast("int").alias("pred_label")))
+    return parts[0].unionByName(parts[1])

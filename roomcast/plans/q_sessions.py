@@ -259,7 +259,7 @@ def session_routes_stream(spark, sf):
 
 # --- validation -------------------------------------------------------------------
 
-# Payload variants, selected by the ``k`` of ``events.props`` (k % 9); $EVENT and $USER are the row's ids:
+# Payload variants, selected by the ``k`` of ``events.props`` (k modulo their number); $EVENT and $USER are the row's ids:
 PAYLOADS = [
     '{"floor": $EVENT, "room_id": "user-$USER", "candidates": [{"room_id": "user-$USER", "probability": 0.$EVENT}], '
     '"building": $USER, "confidence_room": 0.$EVENT}',
@@ -271,6 +271,14 @@ PAYLOADS = [
     '{"floor": 1, "room_id": "x", "candidates": [{"room_id": "x", "probability": "high"}]}',
     '{"floor": 1, "room_id": "x", "candidates": [], "confidence_room": "n/a"}',
     '[1, 2]',
+    '{"floor": 1.0, "room_id": 5, "candidates": [{"room_id": null, "probability": "0.5"}], "building": 10.5, "confidence_floor": true}',
+    '{"floor": true, "room_id": "x", "candidates": [{"room_id": "y", "probability": true}], "building": "10", "confidence_floor": "high"}',
+    '{"floor": "1.5", "room_id": "x", "candidates": []}',
+    '{"floor": null, "room_id": "x", "candidates": []}',
+    '{"floor": " 2 ", "room_id": "\\t", "candidates": []}',
+    '{"floor": 2, "room_id": "x", "candidates": [{"room_id": "y", "probability": null}]}',
+    '{"floor": 2, "room_id": "x", "candidates": [], "building": "ten"}',
+    '{"floor": 2, "room_id": "x", "candidates": [], "building": null, "confidence_room": null, "confidence_floor": "1e-3"}',
 ]
 
 
@@ -284,9 +292,27 @@ def _payloads(spark, sf):
     return e.select("event_id", text.alias("payload"))
 
 
+def _type_is(path: str, pattern: str, of: str = "payload") -> str:
+    """Whether a part of a JSON text is a number, a truth value or a text of the pattern."""
+    return (f"(json_type({of}, '{path}') IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN') OR "
+            f"(json_type({of}, '{path}') = 'VARCHAR' AND regexp_full_match(json_extract_string({of}, '{path}'), '{pattern}')))")
+
+
+_INT = r"\s*[+-]?[0-9]+\s*"
+_NUM = r"(?i)\s*[+-]?([0-9]+\.?[0-9]*(e[+-]?[0-9]+)?|\.[0-9]+(e[+-]?[0-9]+)?|inf|infinity|nan)\s*"
+
+
+def _blank_sql(of: str) -> str:
+    return f"(json_type({of}, '$.room_id') = 'VARCHAR' AND regexp_full_match(json_extract_string({of}, '$.room_id'), '\\s*'))"
+
+
+def _bad_number_sql(key: str, pattern: str) -> str:
+    return f"list_contains(keys, '{key}') AND json_type(payload, '$.{key}') <> 'NULL' AND NOT {_type_is('$.' + key, pattern)}"
+
+
 @register("payload_validate", sql="""
 WITH p AS (SELECT event_id,
-                  replace(replace(([""" + ", ".join("'" + p.replace("'", "''") + "'" for p in PAYLOADS) + """])[(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) % 9) + 1], '$EVENT', CAST(event_id AS VARCHAR)), '$USER', CAST(user_id AS VARCHAR)) AS payload
+                  replace(replace(([""" + ", ".join("'" + p.replace("'", "''") + "'" for p in PAYLOADS) + f"""])[(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) % {len(PAYLOADS)}) + 1], '$EVENT', CAST(event_id AS VARCHAR)), '$USER', CAST(user_id AS VARCHAR)) AS payload
            FROM events),
 j AS (SELECT event_id, payload, json_type(payload) AS jt,
              CASE WHEN json_type(payload) = 'OBJECT' THEN json_keys(payload) END AS keys FROM p),
@@ -297,20 +323,18 @@ e AS (SELECT *,
         list_filter(list_transform(cands, lambda x:
             CASE WHEN json_type(x) <> 'OBJECT' THEN 'candidate_not_object'
                  WHEN NOT (list_contains(json_keys(x), 'room_id') AND list_contains(json_keys(x), 'probability')) THEN 'candidate_missing_keys'
-                 WHEN trim(json_extract_string(x, '$.room_id')) = '' THEN 'candidate_empty_room'
-                 WHEN TRY_CAST(json_extract_string(x, '$.probability') AS DOUBLE) IS NULL THEN 'candidate_bad_probability' END),
+                 WHEN {_blank_sql('x')} THEN 'candidate_empty_room'
+                 WHEN NOT {_type_is('$.probability', _NUM, 'x')} THEN 'candidate_bad_probability' END),
           lambda y: y IS NOT NULL) AS cerr FROM c)
 SELECT event_id,
   CASE WHEN jt IS NULL OR jt <> 'OBJECT' THEN 'not_object'
        WHEN NOT (list_contains(keys, 'floor') AND list_contains(keys, 'room_id') AND list_contains(keys, 'candidates')) THEN 'missing_keys'
-       WHEN TRY_CAST(json_extract_string(payload, '$.floor') AS INTEGER) IS NULL THEN 'bad_floor'
-       WHEN trim(json_extract_string(payload, '$.room_id')) = '' THEN 'empty_room'
+       WHEN NOT {_type_is('$.floor', _INT)} THEN 'bad_floor'
+       WHEN {_blank_sql('payload')} THEN 'empty_room'
        WHEN cands IS NULL THEN 'candidates_not_list'
        WHEN len(cerr) > 0 THEN cerr[1]
-       WHEN list_contains(keys, 'building') AND json_type(payload, '$.building') <> 'NULL'
-            AND TRY_CAST(json_extract_string(payload, '$.building') AS INTEGER) IS NULL THEN 'bad_building'
-       WHEN list_contains(keys, 'confidence_room') AND json_type(payload, '$.confidence_room') <> 'NULL'
-            AND TRY_CAST(json_extract_string(payload, '$.confidence_room') AS DOUBLE) IS NULL THEN 'bad_confidence'
+       WHEN {_bad_number_sql('building', _INT)} THEN 'bad_building'
+       WHEN {_bad_number_sql('confidence_room', _NUM)} OR {_bad_number_sql('confidence_floor', _NUM)} THEN 'bad_confidence'
        ELSE 'ok' END AS error_code
 FROM e
 """)

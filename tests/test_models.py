@@ -71,3 +71,57 @@ def test_unseen_devices_share_a_slot(spark):
     got = {r.scan_id: (r.feature, r.pos, r.value) for r in D.category_features(rows, "device", categories, 10, "dev").collect()}
     assert got == {1: ("dev=x", 12, 1.0), 2: ("dev=?", 13, 1.0), 3: ("dev=?", 13, 1.0), 4: ("dev=z", 11, 1.0)}
     assert Counter(v[1] for v in got.values())[13] == 2
+
+
+def test_grids_find_what_can_be_learned(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    from roomcast.operators import tuning
+
+    rng = np.random.default_rng(9)
+    rows = [(rng.normal(c, 0.3, 2).tolist(), float(c % 3), 10.0 * c, 5.0 * (c % 2), i // 3 % 3) for i in range(90) for c in (i % 3,)]
+    df = spark.createDataFrame(rows, "v array<double>, label double, x double, y double, fold int").withColumn("features", array_to_vector("v")).cache()
+    est, maps, settings = tuning.mlp_grid([(4,), (5, 4)], 2, 3, 60)
+    mlp = tuning.cross_validated(df, est, maps, settings, MulticlassClassificationEvaluator(metricName="accuracy"), 3)
+    assert [r["hidden"] for r in mlp] == ["4", "5-4"] and sum(r["best"] for r in mlp) == 1 and max(r["score_mean"] for r in mlp) > 0.8
+    est, maps, settings = tuning.tree_grid([1, 6], [3], [0.2])
+    trees = tuning.cross_validated(df, est, maps, settings, tuning.NegativePositionError(), 3)
+    assert -1.5 < trees[1]["score_mean"] < 0 and all(r["score_std"] >= 0 for r in trees)
+
+
+def test_grid_queries(spark):
+    """The vectors of the tables know nothing of their labels: only the shape is checked."""
+    from roomcast.plans import q_models as Q
+    from tests.conftest import SF_SMALL
+
+    trees = Q.tree_grid(spark, SF_SMALL, trees=(1, 2)).collect()
+    assert len(trees) == 12 and sum(r.best for r in trees) == 1 and all(r.score_mean < 0 <= r.score_std for r in trees)
+    mlp = Q.mlp_grid(spark, SF_SMALL, iterations=3).collect()
+    assert [r.setting for r in mlp] == ["hidden=50", "hidden=100", "hidden=50-50"]
+    rows = Q.tree_classifiers(spark, SF_SMALL, trees=3, depth=3).collect()
+    assert Counter(r.target for r in rows) == {"building": 100, "floor": 100}
+
+
+REPLIES = {
+    '{"floor": 1.7, "room_id": {}, "candidates": [], "building": false}': "ok",
+    '{"floor": "+2", "room_id": null, "candidates": [{"room_id": 1, "probability": " 1E-2 "}], "confidence_floor": "nan"}': "ok",
+    '{"floor": [1], "room_id": "x", "candidates": []}': "bad_floor",
+    '{"floor": "1.0", "room_id": "x", "candidates": []}': "bad_floor",
+    '{"floor": 1, "room_id": "\\u00a0\\n", "candidates": []}': "empty_room",
+    '{"floor": 1, "room_id": "x", "candidates": null}': "candidates_not_list",
+    '{"floor": 1, "room_id": "x", "candidates": [{"room_id": "y", "probability": 1}, 5, {"room_id": " "}]}': "candidate_not_object",
+    '{"floor": 1, "room_id": "x", "candidates": [{"room_id": " ", "probability": 1}]}': "candidate_empty_room",
+    '{"floor": 1, "room_id": "x", "candidates": [{"room_id": "y", "probability": "1.0d"}]}': "candidate_bad_probability",
+    '{"floor": 1, "room_id": "x", "candidates": [], "building": "1.5"}': "bad_building",
+    '{"floor": 1, "room_id": "x", "candidates": [], "confidence_room": []}': "bad_confidence",
+    '{"floor": 1, "room_id": "x"}': "missing_keys",
+    '"floor"': "not_object", "{broken": "not_object", None: "not_object",
+}
+
+
+def test_reply_types(spark):
+    from roomcast.operators.validate import payload_error
+
+    df = spark.createDataFrame([(p,) for p in REPLIES], "p string")
+    assert [r[0] for r in df.select(payload_error(df.p)).collect()] == list(REPLIES.values())
