@@ -12,9 +12,11 @@ words meet its target to the word.
 Scale: keys are strictly increasing in ``1 - exp(-key)``, which is cut into ``bins``
 equal steps.  Words per (source, bin) are a partial aggregate, their running sum
 finds the bin in which a source's remainder ends, and only the rows of that one bin
-are sorted: 1/bins of a source, however large the source is.  Tables of sources and
-of (source, bin) sums are the only ones that meet in one place; their size follows the
-number of sources.
+are sorted.  That bin may hold 1/bins of a source or, where most keys are alike (texts of
+least quality, null ids), nearly all of it: its rows are dealt by ranges of
+(source, key, id, text), sums of the ranges tell where each begins, and a task sorts one range.
+Tables of sources and of (source, bin) and (source, range) sums are the only ones that meet
+in one place; their size follows the number of sources.
 
 Edge cases: null text or text without words has size 0 and is taken 0 times; null
 sources form one source, ordered last; a null or non-positive quality counts as the
@@ -98,6 +100,19 @@ def draw(
     return df.withColumn(size, n_words(text_col)).withColumn(key, -F.log(u) / q).withColumn(tie, F.xxhash64(F.col(text_col)))
 
 
+def _running(df: DataFrame, group: Column, order: list[Column], value: str, into: str) -> DataFrame:
+    """``df`` with the running sum of ``value`` in each group; no task sorts more than a range of rows."""
+    part, of, begin, at = fresh(df, "rs_part", "rs_of", "rs_begin", "rs_at")
+    # written, so that rows and their sums agree on the ranges
+    cut = materialize(df.withColumn(of, F.struct(group.alias("g"))).repartitionByRange(of, *order).withColumn(part, F.spark_partition_id()))
+    sums = cut.groupBy(of, part).agg(F.sum(value).alias(begin))
+    before = W.partitionBy(of).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    begins = sums.select(F.struct(of, part).alias(at), F.coalesce(F.sum(begin).over(before), F.lit(0)).alias(begin))
+    own = W.partitionBy(of, part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = cut.withColumn(into, F.sum(value).over(own)).withColumn(of, F.struct(of, part))
+    return summed.join(begins, F.col(of) == F.col(at)).withColumn(into, F.col(into) + F.col(begin)).drop(part, of, begin, at)
+
+
 def mix(
     df: DataFrame,
     weights: list[float],
@@ -143,10 +158,9 @@ def mix(
         salted, F.col(source_col).eqNullSafe(F.col(f"{mine}.source")) & (F.col(row_salt) == F.col(salt))
     )
     at_end = F.col(bin_) == F.col(f"{mine}.bin")
-    order = W.partitionBy(F.col(f"{mine}.source")).orderBy(key_col, id_col, tie_col)
+    order = [F.col(c).asc_nulls_first() for c in (key_col, id_col, tie_col)]
     partial = (
-        joined.filter(at_end)
-        .withColumn(cum, F.sum(size_col).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        _running(joined.filter(at_end), F.col(f"{mine}.source"), order, size_col, cum)
         .withColumn(
             cum, F.greatest(F.lit(0), F.least(F.col(size_col), F.col(f"{mine}.room") - F.col(cum) + F.col(size_col)))
         )
