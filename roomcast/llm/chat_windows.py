@@ -5,7 +5,8 @@ earlier window is opened by ``<|again ROLE|>`` instead.  ``\`` in a text is writ
 ``\\`` and ``<|`` is written ``<\|`` (in a role, every ``|`` is written ``\|``), so no text
 can contain a control string and unescaping gives the text back exactly.
 
-Windows.  Running sums of turn tokens are cut into spans: a window takes turns, in
+Windows.  A turn's tokens are those of its text and of the control strings around it.
+Running sums of turn tokens are cut into spans: a window takes turns, in
 order, while its own sum stays within the budget.  A conversation whose first turn
 has the role ``system`` repeats that turn at the head of every later window; then
 come the last turns before the cut, as many as fit into ``history_tokens``; then new
@@ -136,7 +137,7 @@ def format_chats(
     role_col: str = "role",
     text_col: str = "text",
 ) -> DataFrame:
-    """Windows of all conversations (columns ``WINDOWS``); tokens are byte-level BPE tokens of the text."""
+    """Windows of all conversations (columns ``WINDOWS``); tokens are byte-level BPE tokens."""
     rows = (
         df.select(
             F.col(conv_col).cast("long").alias("conv_id"),
@@ -161,6 +162,9 @@ def format_chats(
         own = codec(tokenizer, pattern)
         packer, conv, ready = None, None, []
 
+        def tokens(role: str, text: str) -> int:
+            return (len(own.encode(text)) + len(own.encode(_opened("again", role, "")))) // 4
+
         def done(window: tuple | None) -> None:
             if window is not None:
                 ready.append((conv, *window))
@@ -171,7 +175,7 @@ def format_chats(
                     if packer is not None:
                         done(packer.flush())
                     packer, conv = _Packer(budget, history_tokens), c
-                done(packer.add(role, text, len(own.encode(text)) // 4))
+                done(packer.add(role, text, tokens(role, text)))
             if ready:
                 yield rows_out(out, zip(*ready))
                 ready.clear()
