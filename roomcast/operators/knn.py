@@ -137,7 +137,8 @@ def _merged(cand: DataFrame, n_blocks: int, by: list[str], ref_id: str, k: int)
 
 def _dealt(df: DataFrame, id_col: str, own: str, n: int, other: str, m: int) -> DataFrame:
     """Rows in their own group of ``n``, each copied to the ``m`` groups of the other side."""
-    return df.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(n))).withColumn(
+    # cogroup deals both sides by the hash of the group's numbers: they must be of one type
+    return df.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")).withColumn(
         other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     )
 

@@ -25,7 +25,9 @@ def test_leave_one_out_quantiles(spark):
 
 
 @pytest.mark.parametrize("kw", [{}, {"ref_block_rows": 13, "query_block_rows": 9}])
-def test_neighbours_across_folds(spark, kw):
+def test_neighbours_across_folds(spark, kw, request):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true"))
     rng = np.random.default_rng(6)
     x, fold = rng.normal(size=(60, 5)), rng.integers(0, 3, 60)
     rows = [(i, int(fold[i]), x[i].tolist(), f"l{i % 4}") for i in range(60)]

@@ -45,6 +45,13 @@ def test_knn_strategies_match_brute_force(spark):
         for kw in ({}, {"ref_block_rows": 17, "query_block_rows": 7}):
             got = sorted(tuple(x) for x in knn_join(qdf, rdf, 5, metric, **kw).select("query_id", "ref_id", "rank").collect())
             assert got == want, (metric, kw)
+    # groups over many partitions, as larger data has them
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = knn_join(qdf, rdf, 5, "cosine", ref_block_rows=17, query_block_rows=3).select("query_id", "ref_id", "rank").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(tuple(x) for x in got) == _brute_knn(q, r, 5, "cosine")
 
 
 def test_exact_quantiles(spark):
