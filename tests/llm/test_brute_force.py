@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -250,6 +251,28 @@ def test_fm_index_counts_and_repeats(segments):
     assert covered == want
 
 
+def test_shard_holds_different_segments_only():
+    """Many copies under one key: spans leave with their batch, and no batch is looked at twice."""
+    rng = np.random.default_rng(3)
+    segments = [rng.integers(0, 5, 8).astype(np.uint64) for _ in range(3)]
+    segments[1][2:7] = segments[0][1:6]
+    rows = sorted(((1 if s < 3 else 2, s % 3, d, s) for d in range(400) for s in range(6)), key=lambda r: r[:3])
+    table = pa.Table.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
+         pa.array([0] * len(rows), pa.int64()), pa.array([(100 * r[3]) << 31 | 100 * r[3] + 8 for r in rows], pa.int64()),
+         pa.array([fm_dedup._packed_words(segments[r[1]], np.array([0]), np.array([8]))[0] for r in rows], pa.binary())],
+        schema=fm_dedup._SENT_SCHEMA)
+    want = None
+    for size in (7, 100, 5000):
+        spans = pa.Table.from_batches(fm_dedup._shard(iter(table.to_batches(max_chunksize=size)), 5, 4), schema=fm_dedup._SPANS_SCHEMA)
+        got = Counter(zip(*(c.to_pylist() for c in spans.columns)))
+        want = want or got
+        assert got == want
+    assert len(want) >= 399 * 6 and all((d, 0, 100 * s << 31 | 100 * s + 8) in want for d in range(1, 400) for s in range(6))
+    with pytest.raises(ValueError):
+        fm_dedup.repeats(None, window=90, k=6)
+
+
 def test_word_hashes_follow_words():
     texts = ["a b  a\tab", "", "b", "ab a"]
     raw = "".join(texts).encode()
@@ -296,22 +319,59 @@ def test_near_duplicates_without_ids(spark):
 # -- search --------------------------------------------------------------------------------------
 
 
-def test_cover_tree_prunes_and_is_exact():
+def _best(query, own, data, ids, k):
+    """k best by definition, in Python integers, at the 64-bit limits."""
+    scores = [min(max(sum(int(a) * int(b) for a, b in zip(query, v)), -(2**63)), 2**63 - 1) for v in data]
+    return sorted((-s, int(i)) for s, i in zip(scores, ids) if i != own)[:k]
+
+
+@pytest.mark.parametrize("large", [0, 3, 900])
+def test_cover_tree_prunes_and_is_exact(monkeypatch, large):
+    monkeypatch.setattr(cover_tree, "DATA_LEAF", 30)
+    monkeypatch.setattr(cover_tree, "QUERY_LEAF", 20)
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 60, (12, 8))
     data = np.floor(centres[rng.integers(0, 12, 900)] + rng.normal(0, 4, (900, 8)))
+    data[:large] *= 2.0 ** rng.integers(20, 40, (900, 8))[:large]
+    data[5] = data[6] = data[7]
+    if large == 3:
+        data[1] = 1.7e308
     ids = rng.permutation(900)
     found = cover_tree.DualSearch(data[:90], ids[:90], data, ids, 5)
     for r in range(90):
-        scores = data @ data[r]
-        want = sorted((-s, i) for s, i in zip(scores, ids) if i != ids[r])[:5]
-        assert [(-s, i) for s, i in zip(found.scores[r], found.ids[r])] == want
+        got = [(-int(s), int(i)) for s, i in zip(found.scores[r], found.ids[r])]
+        assert got == _best(data[r], ids[r], data, ids, 5) and found.found[r] == 5
     tree = found.x
     for node, rows in enumerate(tree.members):
-        far = np.linalg.norm(data[rows] - tree.centres[node], axis=1).max()
+        with np.errstate(over="ignore"):
+            far = np.linalg.norm(data[rows] - tree.centres[node], axis=1).max()
         assert far <= tree.radii[node] + 1e-6
 
 
+def test_cover_tree_skips_what_cannot_win(monkeypatch):
+    monkeypatch.setattr(cover_tree, "DATA_LEAF", 64)
+    monkeypatch.setattr(cover_tree, "QUERY_LEAF", 64)
+    seen = []
+    plain = cover_tree.DualSearch._compare
+    monkeypatch.setattr(cover_tree.DualSearch, "_compare", lambda self, m, r: (seen.append(len(m) * len(r)), plain(self, m, r)))
+    rng = np.random.default_rng(2)
+    far = rng.normal(0, 1, (16, 8)) * 500
+    data = np.floor(far[np.repeat(np.arange(16), 250)] + rng.normal(0, 3, (4000, 8)))
+    cover_tree.DualSearch(data[::10], np.arange(0, 4000, 10), data, np.arange(4000), 5)
+    assert sum(seen) < 0.5 * 400 * 4000
+
+
+def test_top_k_of_few_and_wild_vectors(spark, tmp_path):
+    wild = [(20, [1e30, 1.0]), (1, [1e30, -1.0]), (2, [-1e30, 2.0]), (3, [3e307, 0.0]), (40, [0.5, 0.25]), (5, [-0.5, 8.0]), (60, [2.0**50, 1.0])]
+    df = spark.createDataFrame([(*r, 1) for r in wild], "vec_id long, embedding array<double>, label int")
+    rows = QUERIES["op9_cover_tree"](spark, folder_with(spark, tmp_path, embeddings=df)).collect()
+    whole = {i: [math.floor(64 * x) if abs(64 * x) < 2.0**52 else max(-1.7e308, min(1.7e308, 64 * x)) for x in v] for i, v in wild}
+    for q in (20, 40, 60):
+        got = [(-r["score"], r["vec_id"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q]
+        assert got == _best(whole[q], q, list(whole.values()), list(whole), 20)
+    assert len(rows) == 18
+
+
 # -- chat ----------------------------------------------------------------------------------------
 
 
@@ -425,3 +485,9 @@ def test_pipeline_stage_by_stage(spark):
     assert Counter((r["doc_id"], r["decoded_sha256"]) for r in last) == mixed
     by_text = {hashlib.sha256(r["text"].encode()).hexdigest(): r["text"] for r in four.collect()}
     assert all(np.frombuffer(r["ids"], "<u4").tolist() == ENCODING.encode_ordinary(by_text[r["decoded_sha256"]]) for r in last[:40])
+
+
+def test_chat_budget_counts_control_strings(spark):
+    rows = [(1, i, "user", "") for i in range(2000)]
+    windows = chat_windows.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), VOCABULARY, PATTERN).collect()
+    assert len(windows) > 10 and all(w["n_tokens"] <= 512 and len(w["formatted"]) < 6000 for w in windows)

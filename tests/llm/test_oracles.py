@@ -54,3 +54,33 @@ def test_empty_tables(spark, tmp_path, name):
     folder = folder_with(spark, tmp_path, **{t: spark.read.parquet(f"{SF}/{t}.parquet").limit(0) for t in names})
     rows = QUERIES[name](spark, folder).collect()
     assert len(rows) == (1 if name.startswith("op10_") else 0)
+
+
+def _linked_pages(spark, links, own=()):
+    """One page for each (url, linked urls)."""
+    rows = [(i, url, " ".join(f'<a href="{to}">' for to in tos)) for i, (url, tos) in enumerate([*links, *own])]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_distrust_reaches_the_end_of_a_chain(spark, tmp_path):
+    chain = [(f"http://h{i}.net/", [f"http://h{i + 1}.net/"]) for i in range(18)] + [("http://h18.net/", ["http://x.com/de/1"])]
+    ring = [("http://a.net/", ["http://b.net/", "http://x.com/de/1"]), ("http://b.net/", ["http://a.net/", "http://a.net/2"])]
+    pages = _linked_pages(spark, [*chain, *ring], [("http://x.com/de/1", []), ("http://x.org/", ["http://b.net/"]), (None, ["http://a.net/"])])
+    pages = pages.unionByName(pages.filter("page_id in (3, 20)"))  # repeated rows
+    pages = pages.unionByName(pages.filter("page_id = 5").selectExpr("cast(null as long) as page_id", "url", "html"))
+    folder = folder_with(spark, tmp_path, pages=pages)
+    got = QUERIES["op3_host_trust"](spark, folder).toPandas()
+    assert _rows(got) == _rows(duck(folder).execute(ORACLES["op3_host_trust"]).df())
+    assert set(got[got.host.str.match(r"h\d")].verdict) == {"block"} and len(got) == 27
+
+
+def test_mix_of_rows_with_equal_keys(spark, tmp_path):
+    rows = [(None if i % 3 else i, f"{i} 1 2 3", "en", "a" if i % 4 else "b") for i in range(400)] + [(7, "w w", "en", "a")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = QUERIES["op7_source_mix"](spark, folder_with(spark, tmp_path, documents=docs)).collect()
+    for s in ("a", "b"):
+        own = [r for r in got if r["source_size"] == sum((4 if t != "w w" else 2) for _, t, _, x in rows if x == s)]
+        assert len(own) == sum(x == s for *_, x in rows)
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1
+        # complete epochs for all, one row in part
+        assert len({r["taken"] / r["size"] for r in own}) <= 3
