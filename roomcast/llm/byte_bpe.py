@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from roomcast.llm.frames import bounded_rows, rows_out
 
-#: Pre-tokens in each of the two generations of a worker's memo (some 20 MB each), and the longest one kept (characters).
-MEMO_ENTRIES = 100_000
+#: Pre-tokens in each of the two generations of a worker's memo (some 60 MB each), and the longest one kept (characters).
+MEMO_ENTRIES = 300_000
 MEMO_CHARS = 64
 #: Text that is encoded at once (bytes).
 SLICE = 2 << 20
