@@ -9,14 +9,16 @@ Equal windows have equal anchors, and consecutive windows mostly share theirs; t
 windows of one anchor are a segment (``window`` to ``2 * window - k`` words).  Anchors that
 occur once in the corpus cannot hold a repeat and are left out.  The remaining segments
 go to shards by their anchor's hash.  Segments of equal words collapse on the way, in
-each task and again in the shard: only the earliest is indexed, the others are repeats as
-a whole.  An anchor with more than ``HOT`` occurrences (a very common phrase in many
+each task and again in the shard, where they are known by a 64-bit hash: only the earliest
+is indexed, the others are repeats as a whole and leave the shard as they stream in, so whole
+copies of texts never see the index.  An anchor with more than ``HOT`` occurrences (a very common phrase in many
 contexts) is routed window by window, by the hash of the whole window, so no shard gets
 more than a bounded number of different segments for one key.
 
 Index.  A shard streams its segments in blocks of whole keys.  A block is one text in
 order of document and position; its suffix array, Burrows-Wheeler transform and a wavelet
-matrix of packed bits with block counts make an FM-index.  Each segment is then streamed
+matrix of packed bits with block counts make an FM-index; the text and a table of range minima
+stay beside it, bounded by the block.  Each segment is then streamed
 against it: backward search extends a match to the left as long as the suffix range holds
 an occurrence that starts earlier (range minimum over the suffix array), which is the
 matching statistic of its end; ends move left until all windows are decided.  Matches of
@@ -351,65 +353,90 @@ def _spans(table: pa.Table, at: np.ndarray, start: np.ndarray, stop: np.ndarray)
     )
 
 
-def _solve(table: pa.Table, window: int) -> pa.Table:
-    """Repeats among the rows of whole keys, which are sorted by key, same, id, fp, span."""
-    key, same, span, fp = (table.column(c).to_numpy() for c in ("key", "same", "span", "fp"))
-    start, stop = span >> 31, span & 2**31 - 1
-    bare = pc.is_null(table.column("words")).to_numpy()
-    rest = np.flatnonzero(~bare)
-    out = [_spans(table, np.flatnonzero(bare), start[bare], stop[bare])]
-    if not len(rest):
-        return out[0]
-    key, same, fp = key[rest], same[rest], fp[rest]
-    ids = table.column("id").take(pa.array(rest))
-    id_, null = ids.fill_null(0).to_numpy(), pc.is_null(ids).to_numpy()
-    begin, end = start[rest], stop[rest]
-    new_key = np.ones(len(rest), bool)
+class _Leaders:
+    """Takes rows sorted by key, same, id, fp, span; keeps the first of equal segments, lets go of all others at once."""
+
+    def __init__(self) -> None:
+        self.last: tuple | None = None  # key, same, id, null id, fp and begin of the leader that the stream is at
+
+    def take(self, table: pa.Table) -> tuple[list[pa.Table], pa.Table]:
+        """(spans of bare removals and of copies, the leaders among the rows)."""
+        key, same, span, fp = (table.column(c).to_numpy() for c in ("key", "same", "span", "fp"))
+        start, stop = span >> 31, span & 2**31 - 1
+        bare = pc.is_null(table.column("words")).to_numpy()
+        rest = np.flatnonzero(~bare)
+        out = [_spans(table, np.flatnonzero(bare), start[bare], stop[bare])]
+        if not len(rest):
+            return out, table.slice(0, 0)
+        ids = table.column("id").take(pa.array(rest))
+        own = [key[rest], same[rest], ids.fill_null(0).to_numpy(), pc.is_null(ids).to_numpy(), fp[rest], start[rest]]
+        new = np.ones(len(rest), bool)
+        new[1:] = (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1])
+        new[0] = self.last is None or (own[0][0], own[1][0]) != self.last[:2]
+        lead = np.cumsum(new)
+        # what each row's leader has; number 0 is the one from before
+        leaders = [np.concatenate([x[:1] if self.last is None else np.array([self.last[i]], x.dtype), x[new]]) for i, x in enumerate(own)]
+        # copies of the leader are repeats as a whole, but not the same place of a repeated row
+        twin = np.logical_and.reduce([x == led[lead] for x, led in zip(own[2:], leaders[2:])])
+        copy = ~new & ~twin
+        out.append(_spans(table, rest[copy], start[rest[copy]], stop[rest[copy]]))
+        self.last = tuple(x[-1] for x in leaders)
+        return out, table.take(pa.array(rest[new]))
+
+
+def _solve(table: pa.Table, window: int) -> pa.Table | None:
+    """Repeats among different segments of whole keys."""
+    key, span, fp = (table.column(c).to_numpy() for c in ("key", "span", "fp"))
+    ids = table.column("id")
+    id_, null, begin = ids.fill_null(0).to_numpy(), pc.is_null(ids).to_numpy(), span >> 31
+    new_key = np.ones(len(key), bool)
     new_key[1:] = key[1:] != key[:-1]
-    new = new_key.copy()
-    new[1:] |= same[1:] != same[:-1]
-    # copies of the segment before are repeats as a whole, but not the same place of a repeated row
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    twin = (id_ == id_[lead]) & (null == null[lead]) & (fp == fp[lead]) & (begin == begin[lead])
-    copy = ~new & ~twin
-    out.append(_spans(table, rest[copy], begin[copy], end[copy]))
     # a key with one segment has no other place for its windows
     group = np.cumsum(new_key) - 1
-    several = np.bincount(group[new])[group] > 1
-    heads = np.flatnonzero(new & several)
-    if len(heads):
-        heads = heads[np.lexsort((begin[heads], fp[heads], id_[heads], ~null[heads]))]
-        words, lengths = _unpacked_words(table.column("words").take(pa.array(rest[heads])).to_pylist())
-        which, a, b = FMIndex(words, lengths).repeats(window)
-        hit = heads[which]
-        out.append(_spans(table, rest[hit], begin[hit] + a, begin[hit] + b))
-    return pa.concat_tables(out)
+    heads = np.flatnonzero(np.bincount(group)[group] > 1)
+    if not len(heads):
+        return None
+    heads = heads[np.lexsort((begin[heads], fp[heads], id_[heads], ~null[heads]))]
+    words, lengths = _unpacked_words(table.column("words").take(pa.array(heads)).to_pylist())
+    which, a, b = FMIndex(words, lengths).repeats(window)
+    hit = heads[which]
+    return _spans(table, hit, begin[hit] + a, begin[hit] + b)
 
 
 def _shard(batches: Iterator[pa.RecordBatch], window: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Streams sorted rows in blocks of whole keys."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
+    """Streams sorted rows; holds one batch and the different segments of some whole keys."""
+    leaders, held, rows = _Leaders(), [], 0
+
+    def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        found = _solve(table.combine_chunks(), window)
+        if found is not None:
+            yield from found.to_batches()
+
     for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
+        done, led = leaders.take(pa.Table.from_batches([batch]))
+        for spans in done:
+            yield from spans.to_batches()
+        held.append(led)
+        rows += led.num_rows
         if rows < block:
             continue
-        table = pa.Table.from_batches(held).combine_chunks()
+        table = pa.concat_tables(held).combine_chunks()
         key = table.column("key").to_numpy()
         cut = int(np.searchsorted(key, key[-1], "left"))
         if cut:
-            yield from _solve(table.slice(0, cut).combine_chunks(), window).to_batches()
+            yield from solved(table.slice(0, cut))
             table = table.slice(cut)
-        held, rows = table.to_batches(), table.num_rows
+        held, rows = [table], table.num_rows
     if rows:
-        yield from _solve(pa.Table.from_batches(held).combine_chunks(), window).to_batches()
+        yield from solved(pa.concat_tables(held))
 
 
 def repeats(
     docs: DataFrame, window: int = WINDOW, k: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, fp, spans): for documents with repeats, the packed word intervals to remove (they may overlap)."""
+    if not 0 <= window - k < 63 or k < 1:
+        raise ValueError("window must be k to k + 62 words, k at least 1")  # a place has six bits for either
     keyed = _keyed(docs, id_col, text_col)
     often = _places(keyed, window, k, False).groupBy("h").count().filter("count > 1")
     # both sides are dealt by another key than the counts were, so that AQE can split a frequent anchor
