@@ -29,6 +29,7 @@ import hashlib
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -162,8 +163,12 @@ def format_chats(
         own = codec(tokenizer, pattern)
         packer, conv, ready = None, None, []
 
+        @lru_cache(maxsize=1024)
+        def around(role: str) -> int:
+            return len(own.encode(_opened("again", role, ""))) // 4
+
         def tokens(role: str, text: str) -> int:
-            return (len(own.encode(text)) + len(own.encode(_opened("again", role, "")))) // 4
+            return len(own.encode(text)) // 4 + around(role)
 
         def done(window: tuple | None) -> None:
             if window is not None:
