@@ -146,6 +146,10 @@ def fold_scaler(spark, sf):
     return p.select("pos", "fold", r6(F.col("median")).alias("median"), r6(F.col("scale")).alias("scale"))
 
 
+#: Readings that one task joins with their folds.
+READINGS_PER_TASK = 500_000
+
+
 @register("fold_imu_medians", sql=f"""
 WITH {IMU},
 scans AS (SELECT DISTINCT scan_id FROM imu),
@@ -159,7 +163,10 @@ WHERE i.imu_name IS NOT NULL AND i.value IS NOT NULL GROUP BY 1, 2
 def fold_imu_medians(spark, sf):
     """M7 + P6: the IMU medians that each of five stratified folds of scans imputes with, from the other folds."""
     folds = S.stratified_folds(C.scan_labels(spark, sf), "scan_id", "room_id", 5).select("scan_id", "fold")
-    readings = fp.imu_readings(C.lineitem(spark, sf)).where(F.col("imu_name").isNotNull()).join(folds, "scan_id")
+    readings = fp.imu_readings(C.lineitem(spark, sf)).where(F.col("imu_name").isNotNull())
+    # as many tasks as the readings need: one sorts and counts so many of them, whatever their number
+    n = max(spark.sparkContext.defaultParallelism, -(-readings.count() // READINGS_PER_TASK))
+    readings = readings.repartition(n, "scan_id").join(folds.repartition(n, "scan_id"), "scan_id")
     q = leave_one_out_quantiles(readings, ["imu_name"], "value", "fold", 5, [0.5])
     return q.select("imu_name", "fold", "n", r6(F.col("q_0")).alias("median"))
 
@@ -452,7 +459,7 @@ def mlp_holdout(spark, sf):
     """
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
-    df = _ml_frame(spark, sf)
+    df = materialize(_ml_frame(spark, sf))
     n_classes = int(df.agg(F.max("label")).first()[0]) + 1
     dim = len(df.select("features").first()[0])
     mlp = MultilayerPerceptronClassifier(layers=[dim, 64, 32, n_classes], maxIter=400, seed=42, labelCol="label")
@@ -486,8 +493,9 @@ def kmeans_patterns(spark, sf):
 
     from roomcast.operators import features as feat
 
-    params = feat.robust_fit(C.feature_table(spark, sf), C.n_scans(spark, sf))
-    vecs = feat.scaled_vectors(C.scans(spark, sf), C.feature_table(spark, sf), params)
+    features, scans = materialize(C.feature_table(spark, sf)), materialize(C.scans(spark, sf))
+    params = materialize(feat.robust_fit(features, scans.count()))
+    vecs = materialize(feat.scaled_vectors(scans, features, params))
     df = vecs.select("scan_id", array_to_vector("vec").alias("features"))
     model = KMeans(k=8, seed=42, maxIter=20).fit(df)
     return model.transform(df).select("scan_id", F.col("prediction").alias("cluster"))
