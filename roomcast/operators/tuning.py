@@ -42,11 +42,15 @@ def mlp_grid(hidden: list[tuple[int, ...]], n_features: int, n_classes: int, ite
 
 
 def cross_validated(
-    data: DataFrame, estimator: Estimator, maps: list[dict], settings: list[dict], evaluator: Evaluator, n_folds: int, fold_col: str = "fold"
+    data: DataFrame, estimator: Estimator, maps: list[dict], settings: list[dict], evaluator: Evaluator, n_folds: int, fold_col: str = "fold",
+    parallelism: int = 2,
 ) -> list[dict]:
-    """Every setting with mean and standard deviation of its score over the folds of ``fold_col`` and whether it is the best."""
+    """Every setting with mean and standard deviation of its score over the folds of ``fold_col`` and whether it is the best.
+
+    ``parallelism`` settings are fitted at once; each of these fits holds its own copy of a fold's rows.
+    """
     cv = CrossValidator(
-        estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=n_folds, foldCol=fold_col, parallelism=2
+        estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=n_folds, foldCol=fold_col, parallelism=parallelism
     )
     model = cv.fit(data)
     best = (max if evaluator.isLargerBetter() else min)(range(len(settings)), key=model.avgMetrics.__getitem__)

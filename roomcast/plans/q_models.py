@@ -537,7 +537,9 @@ def mlp_grid(spark, sf, iterations=60):
     df = materialize(_grid_frame(spark, sf).withColumn("label", F.col("label").cast("double")))
     n_classes, dim = int(df.agg(F.max("label")).first()[0]) + 1, len(df.select("features").first()[0])
     estimator, maps, settings = tuning.mlp_grid(MLP_HIDDEN, dim, n_classes, iterations)
-    return _grid_rows(spark, "mlp", tuning.cross_validated(df, estimator, maps, settings, MulticlassClassificationEvaluator(metricName="accuracy"), 3))
+    # all settings at once: the many short jobs of one fit do not occupy the cluster
+    scored = tuning.cross_validated(df, estimator, maps, settings, MulticlassClassificationEvaluator(metricName="accuracy"), 3, parallelism=len(maps))
+    return _grid_rows(spark, "mlp", scored)
 
 
 @register("tree_classifiers")
