@@ -225,8 +225,7 @@ class RouteIndex:
         """Route status of every distinct (selected room, goal, access) of gated events: ``(selected, goal, accessible, route_ok)``."""
         asked = gated.where(F.col("selected").isNotNull()).select("selected", "selected_ord", "goal", "goal_ord", "accessible").distinct()
         asked = materialize(asked.withColumn("req", F.monotonically_increasing_id()))
-        on_cells = self.field.on(self.snapped.select("floor", F.col("cy").alias("y"), F.col("cx").alias("x")))
-        routes = best_routes(asked.select("req", F.col("selected_ord").alias("start_ord"), "goal_ord", "accessible"), self.rooms, self.snapped, on_cells)
+        routes = best_routes(asked.select("req", F.col("selected_ord").alias("start_ord"), "goal_ord", "accessible"), self.rooms, self.snapped, self.field)
         return materialize(asked.join(routes.select("req", (F.col("status") == "ok").alias("route_ok")), "req").select("selected", "goal", "accessible", "route_ok"))
 
     def routed(self, gated, statuses):
