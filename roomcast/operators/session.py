@@ -63,21 +63,43 @@ def candidate_gate(events: DataFrame, cand_col: str, room_floor: dict[str, int],
     )
 
 
-def gate_by_map(events: DataFrame, cand_col: str, map_col: str, aliases: dict[str, str],
-                threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
-    """The gate against a room index in a map column ``MAP<room_id, STRUCT<...>>``: row by row, so that it also runs on a stream.
+def candidate_rows(events: DataFrame, cand_col: str, index: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """One row per candidate of every event, joined with the room index ``(room_id, floor, ...)``: no aggregate, so that it also runs on a stream.
 
-    Drops the candidate and map columns; the fields of the selected room come along as ``selected_<field>``, ``has_cell`` as it is.
+    ``event_key`` is equal for equal events only, ``pos`` the candidate's place (null for an event without any), ``known`` says
+    whether the index has the room.  ``room_id`` must be unique in the index.
     """
-    fields = [f.name for f in events.schema[map_col].dataType.valueType.fields]
+    kept = [c for c in events.columns if c != cand_col]
     mapped = F.transform(F.col(cand_col), lambda c: F.struct(map_room(c["room_id"], aliases).alias("room_id"), c["probability"].alias("probability")))
-    usable = F.filter(F.array_distinct(mapped), lambda c: (c["room_id"] != "") & F.try_element_at(F.col(map_col), c["room_id"]).isNotNull())
-    first = F.try_element_at(F.filter("_usable", lambda c: c["probability"] >= threshold), F.lit(1))
-    out = events.withColumn("_usable", usable).withColumn("_first", first).withColumn("_room", F.try_element_at(F.col(map_col), F.col("_first.room_id")))
-    reject = F.when(F.size("_usable") == 0, "no_mapped_candidate").when(F.col("_first").isNull(), "low_confidence")
-    kept = [c for c in events.columns if c not in (cand_col, map_col)]
-    named = [F.col(f"_room.{f}").alias(f if f == "has_cell" else f"selected_{f}") for f in fields]
-    return out.select(*kept, F.col("_first.room_id").alias("selected"), F.col("_first.probability").alias("selected_prob"), reject.alias("reject"), *named)
+    rows = events.select(*kept, F.xxhash64(*kept, cand_col).alias("event_key"), F.posexplode_outer(F.array_distinct(mapped)).alias("pos", "c"))
+    rows = rows.select(*kept, "event_key", "pos", "c.*").join(index.withColumn("known", F.lit(True)), "room_id", "left")
+    return rows.withColumn("known", F.coalesce("known", F.lit(False)) & (F.col("room_id") != ""))
+
+
+def fold_candidates(rows: list[dict], threshold: float = CONFIDENCE_THRESHOLD) -> list[dict]:
+    """Events as ``transition`` reads them from their ``candidate_rows``, in the order of their first rows: the gate's choice.
+
+    An event that came several times is there as often.
+    """
+    held: dict = {}
+    for r in rows:
+        key = (r["event_id"], r["event_key"])
+        ev = held.get(key)
+        if ev is None:
+            ev = {c: r[c] for c in ("session_id", "ts", "event_id", "failed", "goal")}
+            ev |= {"selected": None, "reject": "no_mapped_candidate", "selected_floor": None, "route_ok": False, "has_cell": False}
+            held[key] = ev = {"event": ev, "at": None, "times": 0}
+        if pd.isna(r["pos"]) or r["pos"] == 0:
+            ev["times"] += 1
+        if not r["known"]:
+            continue
+        if ev["event"]["reject"] == "no_mapped_candidate":
+            ev["event"]["reject"] = "low_confidence"
+        p = r["probability"]
+        if p is not None and p >= threshold and (ev["at"] is None or r["pos"] < ev["at"]):
+            ev["at"] = r["pos"]
+            ev["event"].update(selected=r["room_id"], reject=None, selected_floor=r["floor"], route_ok=bool(r["route_ok"]), has_cell=bool(r["has_cell"]))
+    return [dict(ev["event"]) for ev in held.values() for _ in range(ev["times"])]
 
 
 def gate_by_index(events: DataFrame, cand_col: str, index: DataFrame, aliases: dict[str, str],
@@ -163,6 +185,9 @@ def _decision_row(key, event_id, out, s):
 EVENT_COLS = ["session_id", "ts", "event_id", "failed", "selected", "reject", "selected_floor", "goal", "route_ok", "has_cell"]
 
 
+CANDIDATE_COLS = ["session_id", "ts", "event_id", "failed", "goal", "event_key", "pos", "room_id", "probability", "known", "floor", "route_ok", "has_cell"]
+
+
 def event_rows(gated: DataFrame) -> DataFrame:
     """The columns that the state machine reads; rooms have a cell unless ``has_cell`` says otherwise."""
     has_cell = F.col("has_cell") if "has_cell" in gated.columns else F.lit(True)

@@ -248,12 +248,14 @@ def session_routes_stream(spark, sf):
 
     index = RouteIndex(spark, sf)
     statuses = index.statuses(index.gated(room_localisations(table(spark, sf, "events"), index.n)))
-    # on a stream an aggregate would wait for a watermark: the gate takes the index as a map of one row
-    rooms = index.index.join(index.snapped.select("room_id", F.lit(True).alias("has_cell")), "room_id", "left")
-    one = materialize(rooms.agg(F.map_from_entries(F.collect_list(F.struct("room_id", F.struct("floor", "ord", F.coalesce("has_cell", F.lit(False)).alias("has_cell"))))).alias("rooms")))
-    events = room_localisations(events_stream(spark, sf), index.n).join(one)
-    gated = SS.gate_by_map(events, "candidates", "rooms", ROUTE_ALIASES)
-    return run_stream(spark, decisions_stream(index.routed(gated, statuses)), stream_base(spark))
+    # on a stream an aggregate would wait for a watermark: each candidate meets the index and the statuses, the session's state picks
+    cells = index.snapped.select("room_id", F.lit(True).alias("has_cell"))
+    rooms = materialize(index.index.select("room_id", "floor").join(cells, "room_id", "left").withColumn("has_cell", F.coalesce("has_cell", F.lit(False))))
+    if rooms.where("room_id is null").limit(1).count() or rooms.groupBy("room_id").count().where("count > 1").limit(1).count():
+        raise ValueError("room ids must be there and distinct")
+    rows = SS.candidate_rows(room_localisations(events_stream(spark, sf), index.n), "candidates", rooms, ROUTE_ALIASES)
+    rows = index.routed(rows.withColumn("selected", F.col("room_id")), statuses)
+    return run_stream(spark, decisions_stream(rows, candidates=True), stream_base(spark))
 
 
 # --- validation -------------------------------------------------------------------

@@ -23,7 +23,7 @@ from roomcast.session import checkpoint_dir
 STATE_SCHEMA = "active string, active_floor int, pend string, pend_floor int, hits int, last_goal string"
 
 
-def _state_fn(required: int, idle_ms: int | None):
+def _state_fn(required: int, idle_ms: int | None, candidates: bool = False):
     def fn(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
@@ -35,7 +35,8 @@ def _state_fn(required: int, idle_ms: int | None):
             st = dict(SS.EMPTY_STATE)
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
         rows = []
-        for ev in batch.to_dict("records"):
+        events = batch.to_dict("records")
+        for ev in SS.fold_candidates(events) if candidates else events:
             ev = {k: (None if (isinstance(v, float) and pd.isna(v)) else v) for k, v in ev.items()}
             if ev.get("selected_floor") is not None:
                 ev["selected_floor"] = int(ev["selected_floor"])
@@ -51,20 +52,21 @@ def _state_fn(required: int, idle_ms: int | None):
 
 
 def decisions_stream(
-    gated_stream: DataFrame, required: int = SS.TRANSITION_HITS_REQUIRED, late: str | None = None, idle_ms: int | None = None
+    gated_stream: DataFrame, required: int = SS.TRANSITION_HITS_REQUIRED, late: str | None = None, idle_ms: int | None = None,
+    candidates: bool = False,
 ) -> DataFrame:
-    """Streaming DataFrame of decisions from a streaming DataFrame of gated events.
+    """Streaming DataFrame of decisions from a streaming DataFrame of gated events, or of their ``candidates`` as rows.
 
     ``late`` (a watermark delay) with ``idle_ms`` ends sessions without events; without them a session never ends.
     """
     if (late is None) != (idle_ms is None):
         raise ValueError("late and idle_ms go together")
-    rows = SS.event_rows(gated_stream)
+    rows = gated_stream.select(*SS.CANDIDATE_COLS) if candidates else SS.event_rows(gated_stream)
     if late is not None:
         rows = rows.withWatermark("ts", late)
     timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
     return rows.groupBy("session_id").applyInPandasWithState(
-        _state_fn(required, idle_ms), SS.DECISION_SCHEMA, STATE_SCHEMA, "append", timeout
+        _state_fn(required, idle_ms, candidates), SS.DECISION_SCHEMA, STATE_SCHEMA, "append", timeout
     )
 
 
